@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, mixing, reading, splitting, term_weights
+from barloom.llm import bpe, mixing, neighbours, reading, splitting, term_weights
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# 1: most similar vectors for every vector
+
+
+@register(
+    "p1_found",
+    """
+WITH v AS (SELECT DISTINCT ON (vec_id) vec_id, index_name, list_transform(vec, lambda x: CAST(x AS DOUBLE)) AS v FROM vectors WHERE len(vec) = 64),
+w AS (SELECT *, list_inner_product(v, v) AS nn FROM v),
+g AS (SELECT * FROM w WHERE nn > 0 AND NOT isnan(nn))
+SELECT a.vec_id AS vec_a, b.vec_id AS vec_b FROM g a JOIN g b ON a.index_name = b.index_name AND a.vec_id < b.vec_id
+WHERE list_inner_product(a.v, b.v) >= 0.9 * sqrt(a.nn * b.nn)""",
+)
+def p1_found(spark, sf_dir):
+    pairs = neighbours.similar_pairs(table(spark, sf_dir, "vectors"), 0.90)
+    return pairs.select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
+
+
+@register("p1_neighbours")
+def p1_neighbours(spark, sf_dir):
+    wide = neighbours.Probing(visit_lists=96, visit_ratio=1.6)
+    links, _ = neighbours.similar_vectors(table(spark, sf_dir, "vectors"), k=10, query_filter=F.col("id") % 50 == 0, probing=wide)
+    return links.select(F.col("grp").alias("index_name"), F.col("q").alias("vec_id"), F.col("m").alias("neighbour"), F.round("sim", 5).alias("similarity"))
+
+
 # 4: how distinctive a term is per record
 
 _TERMS = f"""
