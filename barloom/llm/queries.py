@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, mixing, neighbours, reading, splitting, term_weights
+from barloom.llm import bpe, code_docs, mixing, neighbours, reading, splitting, term_weights
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +51,19 @@ def p1_neighbours(spark, sf_dir):
     return links.select(F.col("grp").alias("index_name"), F.col("q").alias("vec_id"), F.col("m").alias("neighbour"), F.round("sim", 5).alias("similarity"))
 
 
+# 2: functions paired with their documentation
+
+
+@register("p2_found")
+def p2_found(spark, sf_dir):
+    return code_docs.function_docs(table(spark, sf_dir, "nodes")).select("node_id", "func_name").distinct()
+
+
+@register("p2_pairs")
+def p2_pairs(spark, sf_dir):
+    return code_docs.function_docs(table(spark, sf_dir, "nodes"), with_code=True)
+
+
 # 4: how distinctive a term is per record
 
 _TERMS = f"""
