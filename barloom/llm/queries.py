@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, code_docs, mixing, neighbours, reading, splitting, term_weights
+from barloom.llm import bpe, code_docs, markup, mixing, neighbours, reading, splitting, term_weights
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,6 +124,26 @@ def p5_pieces(spark, sf_dir):
     return pieces.select("item", "item_key", "piece_no", "n_pieces", "start_char", "end_char", "cut").distinct()
 
 
+# 6: markup residue in text documents
+
+
+def _pages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("item"), F.col("doc_id").cast("string").alias("item_key"), F.col("source").alias("host"), "content")
+    parts = table(spark, sf_dir, "sections").select(F.lit("section").alias("item"), F.concat("slug", F.lit("#"), "anchor").alias("item_key"), F.lit("sections").alias("host"), "content")
+    return docs.union(parts).where("content is not null")
+
+
+@register("p6_found")
+def p6_found(spark, sf_dir):
+    pages = markup.clean_markup(_pages(spark, sf_dir), ["item", "item_key"], "host", "content", with_text=False)
+    return pages.select("item", "item_key", F.explode("markups").alias("markup")).distinct()
+
+
+@register("p6_clean")
+def p6_clean(spark, sf_dir):
+    return markup.clean_markup(_pages(spark, sf_dir), ["item", "item_key"], "host", "content").select("item", "item_key", "n_template", "clean").distinct()
+
+
 # 7: encoding of the whole corpus
 
 
