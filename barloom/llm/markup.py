@@ -17,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.plans.skew import spread_lookup
+
 KINDS = ("html", "markdown", "wiki", "latex")
 #: Reference pages of a host, and the most characters of all of them that are broadcast (beyond it they are joined).
 REFERENCES = 3
 BROADCAST_CHARS = 32_000_000
+BROADCAST_HOSTS = 50_000
 
 #: Element names of HTML.
 _TAGS = frozenset(
@@ -528,9 +531,12 @@ def clean_markup(items: DataFrame, keys: list[str], host: str, text: str, *, wit
     marks = [F.xxhash64(F.lit(i), *keys) for i in range(REFERENCES)]
     full = src.where("__host is not null and __text != ''")
     least = full.groupBy("__host").agg(*[F.min(m).alias(f"m{i}") for i, m in enumerate(marks)])
-    wanted = least.select(F.col("__host").alias("h"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"m{i}").alias("mark")) for i in range(REFERENCES)])).alias("w")).select("h", "w.*")
-    own = full.select("__host", "__text", F.posexplode(F.array(*marks)).alias("i", "mark"))
-    refs = own.join(wanted, (F.col("__host") == F.col("h")) & (own["i"] == wanted["i"]) & (own["mark"] == wanted["mark"]), "left_semi").select("__host", "__text").distinct()
+    # one row of three marks a host: broadcast while hosts are few, else joined in spread buckets
+    named = full.select("__host", "__text", *[m.alias(f"k{i}") for i, m in enumerate(marks)])
+    few = least.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    joined = named.join(F.broadcast(least), "__host") if few else spread_lookup(named, least, ["__host"], F.col("k0"))
+    is_reference = F.greatest(*[(F.col(f"k{i}") == F.col(f"m{i}")) for i in range(REFERENCES)])
+    refs = joined.where(is_reference).select("__host", "__text").distinct()
     spark = items.sparkSession
     held = refs.select(F.count("*").alias("n"), F.coalesce(F.sum(F.length("__text")), F.lit(0)).alias("chars"))
     small = held.first().chars <= BROADCAST_CHARS
@@ -540,8 +546,6 @@ def clean_markup(items: DataFrame, keys: list[str], host: str, text: str, *, wit
             by_host.setdefault(r["__host"], []).append(r["__text"])
         shared = spark.sparkContext.broadcast(by_host)
     else:
-        from barloom.plans.skew import spread_lookup
-
         shared = None
         lists = refs.groupBy("__host").agg(F.collect_list("__text").alias("__refs"))  # at most REFERENCES and ties a host
         src = spread_lookup(src, lists, ["__host"], F.xxhash64(*keys), "left").select(*keys, "__host", "__text", "__refs")
