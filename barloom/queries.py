@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Import every module of queries."""
-    from barloom import queries_hierarchy  # noqa: F401
+    from barloom import queries_hierarchy, queries_indicators  # noqa: F401
