@@ -102,7 +102,7 @@ def compute_frame(bars: DataFrame, wanted: list[tuple[str, Request]]) -> DataFra
     builders, names = plan([r for _, r in wanted])
     df = to_spark(bars, builders)
     clash = {p + o for p, r in wanted for o in INDICATORS[r.name].outputs}
-    return df.selectExpr(*[f"`{c}`" for c in bars.columns if c not in clash], *[f"`{n[o]}` AS `{p}{o}`" for (p, r), n in zip(wanted, names) for o in INDICATORS[r.name].outputs])
+    return df.selectExpr(*[f"`{c}`" for c in bars.columns if c not in clash], *[f"CAST(`{n[o]}` AS DOUBLE) AS `{p}{o}`" for (p, r), n in zip(wanted, names) for o in INDICATORS[r.name].outputs])
 
 
 def oracle(bars_sql: str, r: Request) -> str | None:

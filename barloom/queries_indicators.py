@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from barloom.operators import multi_timeframe as mtf
@@ -9,8 +11,8 @@ from barloom.operators.indicators import INDICATORS, compute, oracle, request
 from barloom.queries import register
 from barloom.sources.bars import EVENT_BARS_SQL, LINEITEM_BARS_SQL, event_bars, lineitem_bars
 
-#: Decimals compared: price levels 4; sums over the whole history 2; huge readings whole thousands.
-DIGITS = {"ADI": 2, "OBV": 2, "VPT": 2, "ADOSC": 2, "KVO": 2, "KlingerVolumeOscillator": 2, "ForceIndex": 2, "NVI": -3, "EaseOfMovement": -5}
+#: Decimals compared: price levels 4; sums over the whole history 2; huge readings coarser.
+DIGITS = {"ADI": 2, "OBV": 2, "VPT": 2, "ADOSC": 2, "KVO": 2, "KlingerVolumeOscillator": 2, "ForceIndex": 2, "EaseOfMovement": -5}
 #: Inputs of indicators that don't read bar columns by name.
 INPUTS = {"SwingDelta": {"price": "close", "indicator": "volume"}, "Divergence": {"price": "close", "indicator": "volume"}, "SocialZScore": {"value": "volume"}, "SocialBaselineShift": {"value": "volume"}, "OnchainChange": {"value": "close"}}
 PARAMS = {"VPT": {"smoothing_factor": 5}}
@@ -20,11 +22,15 @@ def _indicator(name: str):
     digits, inputs, params = DIGITS.get(name, 4), INPUTS.get(name), PARAMS.get(name)
     sql = oracle(LINEITEM_BARS_SQL, request(name, inputs, **(params or {})))
     sql = sql and sql.replace(", 6) AS", f", {digits}) AS")
+    shown = {o: f"o_{o}" for o in INDICATORS[name].outputs}
+    if name == "NVI":  # spans many orders of size: compared as its logarithm
+        sql = re.sub(r"round\(CAST\((\w+) AS DOUBLE\)", r"round(ln(1 + \1)", sql)
 
     @register(f"ind_{name.lower()}", sql)
     def query(spark, sf_dir):
         df = compute(lineitem_bars(spark, sf_dir), name, params, inputs=inputs, prefix="o_")
-        return df.select("symbol", "ts", *[F.round(f"o_{o}", digits).alias(o) for o in INDICATORS[name].outputs])
+        value = (lambda c: F.ln(1 + F.col(c))) if name == "NVI" else F.col
+        return df.select("symbol", "ts", *[F.round(value(c), digits).alias(o) for o, c in shown.items()])
 
 
 for _name in INDICATORS:
