@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Import every module of queries."""
-    from barloom import queries_graph, queries_hierarchy, queries_indicators, queries_signals  # noqa: F401
+    from barloom import queries_documents, queries_graph, queries_hierarchy, queries_indicators, queries_signals  # noqa: F401
