@@ -112,7 +112,7 @@ def oracle(bars_sql: str, r: Request) -> str | None:
     if made is None:
         return None
     ctes, n = made
-    return f"WITH bars AS ({bars_sql}),\n{ctes.replace('0.0D', '0.0')}\nSELECT symbol, ts, " + ", ".join(f"round(CAST({g} AS DOUBLE), 6) AS {o}" for o, g in names[0].items()) + f" FROM s{n}"
+    return f"WITH RECURSIVE bars AS ({bars_sql}),\n{ctes.replace('0.0D', '0.0')}\nSELECT symbol, ts, " + ", ".join(f"round(CAST({g} AS DOUBLE), 6) AS {o}" for o, g in names[0].items()) + f" FROM s{n}"
 
 
 # shared pieces

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from barloom.functions.text import W, frame, lag, num, row_no
 from barloom.operators.indicators import INDICATORS, Request, plan, request
 from barloom.operators.multi_timeframe import multi_tf_slope
+from barloom.plans.scan_sql import swing_sql
 from barloom.plans.staging import to_spark, to_sql
 
 TRIGGER, FILTER = "TRIGGER", "FILTER"
@@ -561,6 +562,12 @@ def signal_sql(bars_sql: str, name: str, params: dict | None = None) -> str | No
     """DuckDB text of one signal; None where an indicator has no SQL form."""
     s = SIGNALS[name]
     p = resolve_params(s, params)
+    if s.special == "rsi_swings":
+        builders, out = plan([request("RSI", window=p["rsi_window"])])
+        ctes, n = to_sql("bars", builders)
+        text = _DOTTED.sub(lambda m: m[2] if m[1] == "d" else m[0], s.pred(p))
+        head = swing_sql(f"WITH bars AS ({bars_sql}),\n{ctes.replace('0.0D', '0.0')}", f"s{n}", "close", out[0]["rsi"], p["swing_window"], p["min_swing_distance"])
+        return f"{head}\nSELECT symbol, ts, coalesce({text}, false) AS fired FROM deltas"
     if s.special or s.live:
         return None
     uses = s.uses(p)
@@ -579,7 +586,7 @@ def signal_sql(bars_sql: str, name: str, params: dict | None = None) -> str | No
     pre = "".join(f", {_fill(t, names)} AS {k}" for k, t in (s.pre(p) if s.pre else {}).items())
     text = _fill(s.pred(p), names)
     ctes = ctes.replace("0.0D", "0.0")
-    return f"WITH bars AS ({bars_sql}),\n{ctes}{more},\nj AS (SELECT b.*{cols} FROM {last} b{joins}),\nk AS (SELECT *{pre} FROM j)\nSELECT symbol, ts, coalesce(({text}) AND {row_no()} >= {int(s.least(p))}, false) AS fired FROM k"
+    return f"WITH RECURSIVE bars AS ({bars_sql}),\n{ctes}{more},\nj AS (SELECT b.*{cols} FROM {last} b{joins}),\nk AS (SELECT *{pre} FROM j)\nSELECT symbol, ts, coalesce(({text}) AND {row_no()} >= {int(s.least(p))}, false) AS fired FROM k"
 
 
 assert W and INDICATORS

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.scans import KERNELS
+from barloom.plans.scan_sql import kernel_sql
 
 _NAME = re.compile(r"(?<![\w'.])([A-Za-z_]\w*)(?!\s*\()")
 
@@ -212,5 +213,8 @@ def to_sql(bars_cte: str, requests: list[Builder]) -> tuple[str, int] | None:
                     value = f"pow({1 - alpha!r}, {o}_r) * sum({x} * CASE WHEN {o}_r = 0 THEN 1.0 ELSE {alpha!r} END * pow({1 - alpha!r}, -{o}_r)) OVER ({whole})"
                 parts.append(f"s{n} AS (SELECT *, CASE WHEN {o}_r + 1 >= {least} THEN {value} END AS {o} FROM s{n - 1})")
             else:
-                return None
+                texts = kernel_sql(how, args, inputs, outs, f"s{n - 1}", f"s{n}")
+                if texts is None:
+                    return None
+                parts += texts
     return ",\n".join(parts), n

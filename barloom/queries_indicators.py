@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import multi_timeframe as mtf
 from barloom.operators.indicators import INDICATORS, compute, oracle, request
+from barloom.plans.scan_sql import swing_sql
 from barloom.queries import register
 from barloom.sources.bars import EVENT_BARS_SQL, LINEITEM_BARS_SQL, event_bars, lineitem_bars
 
@@ -22,6 +23,9 @@ def _indicator(name: str):
     digits, inputs, params = DIGITS.get(name, 4), INPUTS.get(name), PARAMS.get(name)
     sql = oracle(LINEITEM_BARS_SQL, request(name, inputs, **(params or {})))
     sql = sql and sql.replace(", 6) AS", f", {digits}) AS")
+    if name in ("SwingDelta", "Divergence"):
+        head = swing_sql(f"WITH bars AS ({LINEITEM_BARS_SQL})", "bars", "close", "volume", 5, 10)
+        sql = f"{head}\nSELECT symbol, ts, " + ", ".join(f"round(CAST({o} AS DOUBLE), {digits}) AS {o}" for o in INDICATORS[name].outputs) + " FROM deltas"
     shown = {o: f"o_{o}" for o in INDICATORS[name].outputs}
     if name == "NVI":  # spans many orders of size: compared as its logarithm
         sql = re.sub(r"round\(CAST\((\w+) AS DOUBLE\)", r"round(ln(1 + \1)", sql)
