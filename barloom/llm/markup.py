@@ -21,7 +21,7 @@ from barloom.plans.skew import spread_lookup
 
 KINDS = ("html", "markdown", "wiki", "latex")
 #: Reference pages of a host, and the most characters of all of them that are broadcast (beyond it they are joined).
-REFERENCES = 3
+REFERENCES = 5
 BROADCAST_CHARS = 32_000_000
 BROADCAST_HOSTS = 50_000
 
@@ -455,9 +455,9 @@ def simple_tree_matching(a: tuple, b: tuple) -> tuple[int, list[tuple[tuple, tup
     sub: dict[tuple[int, int], tuple[int, list]] = {}
     for i in range(1, n + 1):
         for j in range(1, m + 1):
-            # equal texts weigh more, so that a constant node is paired with its like
+            # equal texts weigh more than shape, so that a constant node is paired with its like
             w, pairs = simple_tree_matching(a[2][i - 1], b[2][j - 1])
-            w += a[2][i - 1][1] == b[2][j - 1][1] and w > 0
+            w += 3 * (w > 0 and a[2][i - 1][1] == b[2][j - 1][1] != "")
             sub[i, j] = (w, pairs)
             best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w)
     found, i, j = [], n, m
@@ -562,7 +562,7 @@ def clean_markup(items: DataFrame, keys: list[str], host: str, text: str, *, wit
                 else:
                     texts = shared.value.get(h, [])
                 trees = [_tree(Page(t).blocks) for t in texts]
-                known[h] = [(t, texts_of(t)) for t in trees] if len(trees) > 2 else []
+                known[h] = [(t, texts_of(t)) for t in trees] if len(trees) > 1 else []
             return known[h]
 
         for batch in batches:
