@@ -44,12 +44,12 @@ def split_text(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int
     if not len(starts):
         return [], 0
     ends = classes[3]
-    at, stop, pieces = int(starts[0]), int(ends[-1]), []
+    at, stop, pieces, done = int(starts[0]), int(ends[-1]), [], 0
     while stop - at > limit:
         cut, kind = at + limit, "hard"
         for name, ok in zip(CLASSES, classes):
             i = int(np.searchsorted(ok, at + limit, "right")) - 1
-            if i >= 0 and ok[i] > at + (limit // 2 if name != "blank" else overlap):
+            if i >= 0 and ok[i] > max(done, at + (limit // 2 if name != "blank" else overlap)):
                 cut, kind = int(ok[i]), name
                 break
         pieces.append((at, cut, kind))
@@ -58,9 +58,12 @@ def split_text(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int
         if overlap == 0:
             i = int(np.searchsorted(starts, cut, "left"))
             back = int(starts[i]) if kind != "hard" and i < len(starts) else cut
-        elif back <= at or cut - back >= limit or cut - back > 2 * overlap:
-            back = cut - overlap  # no border near: step back by exactly the overlap
-        at = back
+        else:
+            i = int(np.searchsorted(ends, cut, "right"))
+            stuck = i < len(ends) and ends[i] > back + limit and ends[i] <= cut - overlap + limit
+            if back <= at or stuck or cut - back > 2 * overlap:
+                back = cut - overlap  # no border near, or the next token wouldn't fit: step back by exactly the overlap
+        at, done = back, cut
     pieces.append((at, stop, "end"))
     return pieces, longest
 
