@@ -450,7 +450,7 @@ def related_terms(terms: DataFrame, most: int = 5) -> DataFrame:
 def glossary_entry(terms: DataFrame, ref: str) -> DataFrame:
     """The entry of a term: exact, then by abbreviation, then by whole word; several whole-word hits raise."""
     low = ref.strip().lower()
-    abbreviations = F.transform(F.split(F.lower(F.coalesce("abbreviation", F.lit(""))), ","), F.trim)
+    abbreviations = F.transform(F.split(F.lower(F.coalesce("abbreviation", F.lit(""))), ","), lambda x: F.trim(x))
     whole = F.lower("term").rlike(r"(^|\W)" + re.escape(low) + r"(\W|$)")
     rank = F.when(F.lower("term") == low, 1).when(F.array_contains(abbreviations, low), 2).when(whole, 3)
     hits = terms.withColumn("rank", rank).where("rank is not null").orderBy("rank", "term").limit(50).collect()

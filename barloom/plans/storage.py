@@ -23,7 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         return set_dir.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         own = tempfile.TemporaryDirectory(prefix="barloom-")
         atexit.register(own.cleanup)

@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 CANONICAL = ("open", "high", "low", "close", "volume")
 
 
-def bars_from(df: DataFrame, symbol: Column, ts: Column, price: Column, volume: Column, order: list) -> DataFrame:
-    """One bar per (symbol, ts): open and close are the first and last price in ``order``.
+def pack_order(high: Column, low: Column, low_digits: int) -> Column:
+    """Two whole numbers as one sortable decimal; ``low`` has at most ``low_digits`` digits and isn't negative."""
+    wide = "decimal(38,0)"
+    return (high.cast("decimal(20,0)") * F.lit(10**low_digits).cast("decimal(18,0)")).cast(wide) + low.cast(wide)
 
-    A single aggregation with map-side combine, so a symbol with most of the rows is no hot key of a
-    sort.  Rows with a null symbol, time or price are left out; ``order`` must be unique in a bar,
-    else ties are broken by the price.
+
+def bars_from(df: DataFrame, symbol: Column, ts: Column, price: Column, volume: Column, order: Column) -> DataFrame:
+    """One bar per (symbol, ts): open and close are the first and last price by ``order``.
+
+    A single hash aggregation with map-side partial bars, so a symbol with most of the rows is no hot
+    key of a sort; ``order`` should be a number, timestamp or decimal (see :func:`pack_order`), for
+    which no sort is needed, and unique in a bar.  Rows with a null symbol, time or price are left out.
     """
-    rows = df.select(symbol.alias("symbol"), ts.cast("timestamp").alias("ts"), price.cast("double").alias("price"), volume.cast("double").alias("v"), F.struct(*order, price).alias("o"))
+    rows = df.select(symbol.alias("symbol"), ts.cast("timestamp").alias("ts"), price.cast("double").alias("price"), volume.cast("double").alias("v"), order.alias("o"))
     rows = rows.where("symbol is not null and ts is not null and price is not null")
     return rows.groupBy("symbol", "ts").agg(
         F.min_by("price", "o").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "o").alias("close"), F.sum("v").alias("volume")
@@ -32,7 +38,7 @@ FROM (SELECT *, {'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_supp
 
 def lineitem_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+    order = pack_order(F.col("l_orderkey"), F.col("l_linenumber").cast("long") * 10**12 + F.col("l_partkey"), 14)
     return bars_from(df, F.col("l_returnflag"), F.col("l_shipdate"), F.col("l_extendedprice"), F.col("l_quantity"), order)
 
 
@@ -45,7 +51,7 @@ FROM (SELECT *, {'a': ts, 'b': event_id} AS o FROM events WHERE value IS NOT NUL
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of the event values, one symbol per event type."""
     df = spark.read.parquet(f"{sf_dir}/events.parquet").where("value is not null")
-    return bars_from(df, F.col("event_type"), F.date_trunc("hour", F.col("ts").cast("timestamp")), F.col("value"), F.lit(1.0), ["ts", "event_id"])
+    return bars_from(df, F.col("event_type"), F.date_trunc("hour", F.col("ts").cast("timestamp")), F.col("value"), F.lit(1.0), pack_order(F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id"), 12))
 
 
 def canonical_columns(df: DataFrame) -> DataFrame:
