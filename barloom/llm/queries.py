@@ -46,7 +46,7 @@ def p1_found(spark, sf_dir):
 
 @register("p1_neighbours")
 def p1_neighbours(spark, sf_dir):
-    wide = neighbours.Probing(visit_lists=96, visit_ratio=1.6)
+    wide = neighbours.Probing(visit_lists=128, visit_ratio=1.6)
     links, _ = neighbours.similar_vectors(table(spark, sf_dir, "vectors"), k=10, query_filter=F.col("id") % 50 == 0, probing=wide)
     return links.select(F.col("grp").alias("index_name"), F.col("q").alias("vec_id"), F.col("m").alias("neighbour"), F.round("sim", 5).alias("similarity"))
 
