@@ -235,7 +235,7 @@ def _functions(tokens: DataFrame) -> DataFrame:
     t = t.withColumn("k1", lag("kind")).withColumn("t1", lag("text")).withColumn("mod", modifier)
     # documentation before a run of modifiers counts for what they modify
     run_start = ~F.coalesce(lag("mod"), F.lit(False))
-    t = t.withColumn("run", F.last(F.when(run_start, F.struct(F.col("note.doc").alias("doc"))), True).over(upto))
+    t = t.withColumn("run", F.last(F.when(run_start, F.struct(F.col("note.doc").alias("doc"), F.col("at").alias("at"))), True).over(upto))
 
     # Python: the header of the logical line, seen from its first token
     line_start = py & ~kind.isin(_LINE_START) & (F.col("k1").isNull() | F.col("k1").isin(_LINE_START))
@@ -249,7 +249,7 @@ def _functions(tokens: DataFrame) -> DataFrame:
     x = {i: lag("text", i) for i in range(1, 6)}
     r = {i: lag("run", i) for i in range(0, 6)}
     is_const = lambda c: c.isin("const", "let", "var")
-    candidate = lambda name, what, run: F.struct(name.alias("name"), F.lit(what).alias("what"), run["doc"].alias("doc"))
+    candidate = lambda name, what, run: F.struct(name.alias("name"), F.lit(what).alias("what"), run["doc"].alias("doc"), run["at"].alias("at"))
     params = F.when(js & (kind == "("), F.coalesce(
         F.when((k[1] == "word") & (x[2] == "function"), candidate(x[1], "function", r[2])),
         F.when((k[1] == "word") & (k[2] == "star") & (x[3] == "function"), candidate(x[1], "function", r[3])),
@@ -308,10 +308,10 @@ def _functions(tokens: DataFrame) -> DataFrame:
         F.col("at").alias("start"), F.coalesce(F.col("body_ahead.stop"), F.col("line_end")).alias("stop"), F.col("depth").alias("outer"),
     )).when(F.col("block").isNotNull(), F.struct(
         F.col("block.name").alias("name"), F.col("block.what").alias("what"), F.col("block.doc").alias("doc"), F.col("block.doc").isNotNull().alias("has_doc"),
-        F.lit(None).cast("int").alias("start"), F.col("match_end").alias("stop"), (F.col("depth") - 1).alias("outer"),
+        F.col("block.at").alias("start"), F.col("match_end").alias("stop"), (F.col("depth") - 1).alias("outer"),
     )).when(F.col("arrow").isNotNull(), F.struct(
         F.col("arrow.name").alias("name"), F.col("arrow.what").alias("what"), F.col("arrow.doc").alias("doc"), F.col("arrow.doc").isNotNull().alias("has_doc"),
-        F.lit(None).cast("int").alias("start"), F.when(lead("kind") == "{", lead("match_end")).otherwise(F.coalesce("semi_ahead", "upto")).alias("stop"), F.col("depth").alias("outer"),
+        F.col("arrow.at").alias("start"), F.when(lead("kind") == "{", lead("match_end")).otherwise(F.coalesce("semi_ahead", "upto")).alias("stop"), F.col("depth").alias("outer"),
     ))
     t = t.withColumn("made", made)
 
@@ -370,9 +370,6 @@ def function_docs(nodes: DataFrame, *, with_code: bool = False) -> DataFrame:
     found = found.withColumn("description", description(F.when(alone, F.col("summary")).otherwise(doc)))
     out = ["id as node_id", "qualified as func_name", "description"]
     if with_code:
-        code = F.expr("substring(source, start + 1, stop - start)")
-        js_code = F.expr("substring(source, 1, stop)")
-        named = F.expr("regexp_extract(js, concat('(?s).*((?m)^[^\\\\n\\\\r]*\\\\b', regexp_replace(name, '[$]', '[$]'), '\\\\b.*)$'), 1)")
-        found = found.withColumn("js", js_code).withColumn("code", F.when(F.col("start").isNotNull(), code).otherwise(named)).drop("js")
+        found = found.withColumn("code", F.expr("substring(source, start + 1, stop - start)"))
         out.append("code")
     return found.where(worthwhile(F.col("description"), F.col("name"))).selectExpr(*out).distinct()

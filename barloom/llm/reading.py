@@ -24,7 +24,7 @@ BUCKETS = 1 << 18
 MAX_GRADES = 20_000
 GRADES = ("easy", "middle", "advanced")
 #: Abbreviations after which a full stop ends no sentence.
-ABBREVIATIONS = ["e.g", "i.e", "cf", "vs", "etc", "viz", "ca", "approx", "resp", "al", "fig", "eq", "no", "mr", "mrs", "ms", "dr", "prof", "st", "jr", "sr", "inc", "ltd"]
+ABBREVIATIONS = ["e.g", "i.e", "cf", "vs", "etc", "viz", "ca", "approx", "resp", "al", "fig", "eq", "mr", "mrs", "ms", "dr", "prof", "st", "jr", "sr", "inc", "ltd"]
 CONNECTIVES = frozenset(
     "although because whereas while since unless until though if when therefore however moreover furthermore thus hence "
     "consequently nevertheless nonetheless notwithstanding insofar despite after before whether and but or so yet that which who whose whereby".split()

@@ -127,8 +127,9 @@ def test_python(spark):
 def test_javascript(spark):
     got = run(spark, [("j", "Module", None, {"source_text": JS, "lang": "javascript"}, "d")], with_code=True)
     assert {k[1] for k in got} == {"draw", "draw.count", "View.render", "View.value", "mean", "wrap", "wrap.text"}
+    assert got["j", "mean"].code == "const mean = (a, b) => (a + b) / 2;" and got["j", "draw"].code.startswith("export default async function draw(")
     assert got["j", "draw"].description == "Draws the held band over every window."
-    assert got["j", "View.render"].code.strip() == "static async render(a) { return `${a}}`; }"
+    assert got["j", "View.render"].code == "static async render(a) { return `${a}}`; }"
 
 
 def test_summary_fallback_and_repeats(spark):
