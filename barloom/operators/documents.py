@@ -26,10 +26,10 @@ def validate_request(slug: str, max_chars: int) -> None:
 
 
 def slugify(text: str) -> str:
-    """ASCII letters and digits in lower case, joined by single dashes."""
-    plain = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower()
-    plain = re.sub(r"[^a-z0-9-]", "", re.sub(r"[\s_]+", "-", plain))
-    return re.sub(r"-+", "-", plain).strip("-")
+    """The ASCII letters and digits of each word in lower case; words (parted by blanks, underscores or dashes) are joined by dashes."""
+    folded = unicodedata.normalize("NFKD", text.lower())
+    words = re.split(r"[\s_-]+", folded)
+    return "-".join(w for w in ("".join(c for c in word if c.isascii() and c.isalnum()) for word in words) if w)
 
 
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
@@ -79,8 +79,13 @@ def sections_of(content: str) -> list[dict]:
 
 
 def tags_of(content: str) -> list[str]:
-    lines = re.findall(r"^Tags?:\s*(.+)$", content, re.I | re.M)
-    return sorted({re.sub(r"[.;:]+$", "", t.strip().lower()) for line in lines for t in line.split(",") if t.strip()})
+    """Lower-case tags of all lines that begin with Tag: or Tags:, sorted, without closing punctuation."""
+    found = set()
+    for line in content.splitlines():
+        head, colon, rest = line.partition(":")
+        if colon and head.lower() in ("tag", "tags"):
+            found.update(part.strip().lower().rstrip(".;:") for part in rest.split(",") if part.strip())
+    return sorted(found)
 
 
 def _udf(f, kind):
@@ -344,6 +349,11 @@ month to date = mtd
 """
 
 
+#: A word of a question, and a heading with its abbreviation.
+_QUERY_WORD = re.compile(r"\w+(?:[-:&'/]\w+)*")
+NAME_AND_ABBREVIATION = r"([A-Za-z\s]+)\s*\(([A-Z]+)\)"
+
+
 class SynonymRegistry:
     def __init__(self, text: str = SYNONYMS):
         self.direct = {a.strip(): [x.strip() for x in b.split(",")] for a, b in (line.split(" = ") for line in text.strip().splitlines())}
@@ -359,16 +369,12 @@ class SynonymRegistry:
 
     def expand_query(self, query: str, *, expand: bool = True) -> list[list[str]]:
         """Groups of phrases: at each word the longest phrase of up to four words that has synonyms, with them; else the word."""
-        words, groups, i = re.findall(r"\w+(?:[-:&'/]\w+)*", query), [], 0
-        while i < len(words):
-            step, group = 1, [words[i]]
-            for n in range(min(4, len(words) - i), 0, -1) if expand else ():
-                phrase = " ".join(words[i : i + n])
-                if others := self.get_synonyms(phrase):
-                    step, group = n, [phrase, *others]
-                    break
-            groups.append(list(dict.fromkeys(group)))
-            i += step
+        rest, groups = _QUERY_WORD.findall(query), []
+        while rest:
+            known = {n: self.get_synonyms(" ".join(rest[:n])) for n in range(1, min(4, len(rest)) + 1)} if expand else {}
+            size = max((n for n, others in known.items() if others), default=1)
+            groups.append(list(dict.fromkeys([" ".join(rest[:size]), *known.get(size, [])])))
+            rest = rest[size:]
         return groups
 
 
@@ -433,7 +439,7 @@ def glossary_terms(documents: DataFrame, parts: DataFrame) -> DataFrame:
     anchor = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("term"), r"[^\w\s-]", ""), r"[\s-]+", "-"), "^-|-$", "")
     a = table.select("term", F.when(~F.col("abbr").isin("", "-", "N/A"), F.col("abbr")).alias("abbreviation"), "definition", anchor.alias("anchor"), "slug")
     heads = parts.where("level <= 2").dropDuplicates(["slug", "anchor"])
-    name, abbr = F.regexp_extract("title", r"([A-Za-z\s]+)\s*\(([A-Z]+)\)", 1), F.regexp_extract("title", r"([A-Za-z\s]+)\s*\(([A-Z]+)\)", 2)
+    name, abbr = (F.regexp_extract("title", NAME_AND_ABBREVIATION, i) for i in (1, 2))
     b = heads.where(F.contains("slug", F.lit("indicator"))).select(F.when(abbr != "", F.trim(name)).otherwise(F.col("title")).alias("term"), F.when(abbr != "", abbr).alias("abbreviation"), F.lit(None).cast("string").alias("definition"), "anchor", "slug")
     c = heads.where(F.contains("slug", F.lit("pattern")) & ~F.contains("slug", F.lit("indicator"))).select(F.col("title").alias("term"), F.lit(None).cast("string").alias("abbreviation"), F.lit(None).cast("string").alias("definition"), "anchor", "slug")
     return a.union(b).union(c).groupBy("term").agg(F.min_by(F.struct("abbreviation", "definition", "anchor", "slug"), F.struct("slug", "anchor")).alias("t")).select("term", "t.*").orderBy(F.lower("term"))

@@ -66,15 +66,18 @@ def query_terms(text: str) -> list[str]:
     return [w for w in words if w not in FUNCTION_WORDS] or words
 
 
+#: Plural endings, longest first, and what may stand for them.
+_PLURALS = (("ies", ("y",)), ("es", ("", "e")), ("s", ("",)))
+
+
 def variants(term: str) -> list[str]:
-    """A term with its plain singular or plural."""
+    """A term with its plain singular or plural; terms under four letters have none."""
     if len(term) < 4:
         return [term]
-    if term.endswith("ies"):
-        return [term, term[:-3] + "y"]
-    if term.endswith("es"):
-        return [term, term[:-2], term[:-1]]
-    return [term, term[:-1]] if term.endswith("s") else [term, term + "s", term + "es"]
+    for ending, singular in _PLURALS:
+        if term.endswith(ending):
+            return [term, *(term.removesuffix(ending) + x for x in singular)]
+    return [term + x for x in ("", "s", "es")]
 
 
 def carries(text: Column, term: str) -> Column:

@@ -169,3 +169,42 @@ def encoder_available() -> bool:
     import os
 
     return bool(os.environ.get("BARLOOM_ENCODER"))
+
+
+def encode_texts(texts: DataFrame, model_path: str, tokenizer_path: str, most_tokens: int = 256) -> DataFrame:
+    """``id, vec``: unit vectors of ``id, text`` by a supplied ONNX sentence encoder (masked mean of the token states).
+
+    The model is loaded once a worker; null texts have a null vector.
+    """
+    import os
+
+    for path in (model_path, tokenizer_path):
+        if not os.path.exists(path):
+            raise FileNotFoundError(path)
+
+    def run(batches):
+        import onnxruntime
+        from tokenizers import Tokenizer
+
+        model = onnxruntime.InferenceSession(model_path)
+        tok = Tokenizer.from_file(tokenizer_path)
+        tok.enable_truncation(most_tokens)
+        tok.enable_padding()
+        names = {i.name for i in model.get_inputs()}
+        for b in batches:
+            held = b.column(1).to_pylist()
+            at = [i for i, t in enumerate(held) if t is not None]
+            out: list = [None] * len(held)
+            for k in range(0, len(at), 32):
+                part = at[k : k + 32]
+                enc = tok.encode_batch([held[i] for i in part])
+                ids, mask = (np.array([getattr(e, a) for e in enc], np.int64) for a in ("ids", "attention_mask"))
+                feed = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+                states = model.run(None, {n: v for n, v in feed.items() if n in names})[0]
+                mean = (states * mask[:, :, None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1)
+                mean = mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
+                for i, v in zip(part, mean):
+                    out[i] = v.astype(float).tolist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], ["id", "vec"])
+
+    return texts.select("id", "text").mapInArrow(run, "id string, vec array<double>")
