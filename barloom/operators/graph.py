@@ -179,7 +179,7 @@ class Graph:
     def closure(self, start: list[str], relations: list[str], *, upward: bool, most: int = 10_000) -> DataFrame:
         """``id, hops`` of all nodes reachable over the relations, without the start itself; circles end where they close."""
         a, b = ("src", "dst") if upward else ("dst", "src")
-        steps = self.edges.where(F.col("relation").isin(relations)).select(F.col(a).alias("id"), F.col(b).alias("next"))
+        steps = write_table(self.edges.where(F.col("relation").isin(relations)).select(F.col(a).alias("id"), F.col(b).alias("next")), "steps")
         seen = self.spark.createDataFrame([(s, 0) for s in start], "id string, hops int")
         front, hop = seen, 0
         while hop < most:
@@ -189,6 +189,8 @@ class Graph:
             if front.isEmpty():
                 break
             seen = seen.unionByName(front)
+            if hop % 8 == 0:  # else a long chain reads one table a hop again and again
+                seen = write_table(seen, "closure")
         return seen.where("hops > 0")
 
     def ancestors(self, ref: str) -> DataFrame:
@@ -235,7 +237,7 @@ class Graph:
     def subgraph(self, ref: str, radius: int = 1, max_nodes: int | None = None) -> tuple[DataFrame, DataFrame]:
         """Nodes ``id, hops`` within a radius (nearest first up to ``max_nodes``) and the edges among them."""
         i = self.resolve(ref)
-        both = self.edges.select("src", "dst").union(self.edges.select("dst", "src")).toDF("id", "next")
+        both = write_table(self.edges.select("src", "dst").union(self.edges.select("dst", "src")).toDF("id", "next"), "both")
         seen = front = self.spark.createDataFrame([(i, 0)], "id string, hops int")
         for hop in range(1, radius + 1):
             front = write_table(front.select("id").join(both, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hops")), "ball")
@@ -251,7 +253,7 @@ class Graph:
         a, b = self.resolve(a), self.resolve(b)
         if a == b:
             return [a]
-        both = self.edges.select("src", "dst").union(self.edges.select("dst", "src")).toDF("id", "next").distinct()
+        both = write_table(self.edges.select("src", "dst").union(self.edges.select("dst", "src")).toDF("id", "next").distinct(), "both")
         seen = self.spark.createDataFrame([(a,)], "id string")
         front = self.spark.createDataFrame([(a, [a])], "id string, way array<string>")
         for _ in range(max_depth):
@@ -268,7 +270,7 @@ class Graph:
     def all_paths(self, a: str, b: str, max_depth: int = 4) -> DataFrame:
         """``way`` of every simple undirected path up to a length; a path never meets a node twice."""
         a, b = self.resolve(a), self.resolve(b)
-        both = self.edges.select("src", "dst").union(self.edges.select("dst", "src")).toDF("id", "next").distinct()
+        both = write_table(self.edges.select("src", "dst").union(self.edges.select("dst", "src")).toDF("id", "next").distinct(), "both")
         front = self.spark.createDataFrame([(a, [a])], "id string, way array<string>")
         found = None
         for _ in range(max_depth):

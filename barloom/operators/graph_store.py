@@ -48,6 +48,7 @@ def reachable(edges: DataFrame, start: DataFrame, relations: list[str] | None =
     steps = e.select(F.col("src").alias("id"), F.col("dst").alias("next"))
     if undirected:
         steps = steps.union(e.select(F.col("dst"), F.col("src")))
+    steps = write_table(steps, "steps")
     seen = front = start.select("id").distinct().select("id", F.lit(0).alias("depth"))
     for depth in range(1, max_depth + 1):
         new = front.select("id").join(steps, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti")
