@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", max_grades: in
     rarity = docs.sparkSession.sparkContext.broadcast(np.log((counts.sum() + BUCKETS) / (counts + 1)).astype(np.float32))
     order = F.xxhash64("doc_id", "rater", "grade")
     used = labels.select("doc_id", "rater", "grade").distinct().where(F.col("doc_id").isNotNull() & F.col("grade").isin(*GRADES)).orderBy(order).limit(max_grades)
-    graded = docs.join(used.select("doc_id").distinct(), "doc_id", "left_semi")
+    graded = docs.join(F.broadcast(used.select("doc_id").distinct()), "doc_id", "left_semi")  # at most max_grades rows
     rows = _features(graded, ["doc_id"], text, rarity, None).where("n_words > 0").join(used, "doc_id").toPandas()
     x = rows[[f"f_{f}" for f in FEATURES]].to_numpy(float)
     grade = rows["grade"].map({g: i for i, g in enumerate(GRADES)}).to_numpy(int)
