@@ -41,4 +41,12 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Intermediate tables go when the application ends; until then later readers may need them again."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
