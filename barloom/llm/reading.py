@@ -89,7 +89,8 @@ def text_features(text: str | None, known: _Words) -> tuple:
     if n <= span:
         diversity = len(set(words)) / n
     else:
-        diversity = float(np.mean([len(set(at[i : i + span].tolist())) / span for i in range(0, n - span + 1, span)]))
+        starts = [*range(0, n - span, span), n - span]  # the last ends where the text ends
+        diversity = float(np.mean([len(set(at[i : i + span].tolist())) / span for i in starts]))
     pauses = len(_PAUSE.findall(text))
     per = n / ends
     return (n, ends, per, letters / n, diversity, rare / n, connect / n, (sub + pauses) / ends, float(np.log(per)), letters / n, long / n)

@@ -169,3 +169,13 @@ def test_levels_edges(spark):
     odd = spark.createDataFrame([(4, "r", "easy"), (4, "r", "easy"), (4, None, "hard"), (None, "r", "easy"), (4, "q", None)], "doc_id long, rater string, grade string")
     assert reading.reading_levels(docs, odd).count() == 6
     assert reading.reading_levels(docs.limit(0), odd).count() == 0
+
+
+@pytest.mark.parametrize(("n", "want"), [(100, 1.0), (150, (1.0 + 0.51) / 2), (200, (1.0 + 0.01) / 2), (250, (1.0 + 0.01 + 0.01) / 3)])
+def test_diversity_reads_to_the_end(n, want):
+    letters = "abcdefghij"
+    words = [a + b for a in letters for b in letters] + ["same"] * (n - 100)
+    known = reading._Words(None)
+    known(words)
+    known.table_now = known.table()
+    assert reading.text_features(" ".join(words), known)[4] == pytest.approx(want)
