@@ -295,10 +295,9 @@ def similar_vectors(
     repeated rows count once, an id may hold several vectors, and an empty collection gives no rows.
     """
     probing = probing or Probing()
-    units = write_table(unit_vectors(vectors, id_col, vec_col, group_col, dim), "units")
     is_query = F.lit(True) if query_filter is None else F.coalesce(query_filter, F.lit(False))
-    direction = units.withColumn("dir", F.md5("unit")).withColumn("wanted", is_query)
-    reps = direction.groupBy("grp", "dir").agg(F.min("id").alias("id"), F.first("unit").alias("unit"), F.max("wanted").alias("is_query"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    direction = write_table(unit_vectors(vectors, id_col, vec_col, group_col, dim), "units").withColumn("dir", F.md5("unit"))
+    reps = direction.withColumn("wanted", is_query).groupBy("grp", "dir").agg(F.min("id").alias("id"), F.first("unit").alias("unit"), F.max("wanted").alias("is_query"), F.max("id").alias("hi"))
     reps = write_table(reps, "reps")
     graphs = _fit(reps, dim, sample_max, list_size)
     spark = vectors.sparkSession
@@ -313,9 +312,31 @@ def similar_vectors(
         if min_similarity is None:
             best = Window.partitionBy("grp", "q").orderBy(F.desc("sim"), "m")
             links = links.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
-    many = reps.where("hi > lo").select("grp", "dir", F.col("id").alias("rep"))
-    classes = spread_lookup(direction.select("grp", "dir", "id"), many, ["grp", "dir"], F.col("id")).select("grp", "id", "rep").distinct()
-    return links, classes
+    return links, _classes(direction, reps)
+
+
+def _classes(direction: DataFrame, reps: DataFrame) -> DataFrame:
+    many = reps.where("hi > id").select("grp", "dir", F.col("id").alias("rep"))
+    return spread_lookup(direction.select("grp", "dir", "id"), many, ["grp", "dir"], F.col("id")).select("grp", "id", "rep").distinct()
+
+
+def copies(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", group_col: str = "index_name", *, dim: int = 64) -> DataFrame:
+    """The ``classes`` of :func:`similar_vectors` without a search."""
+    units = unit_vectors(vectors, id_col, vec_col, group_col, dim)
+    direction = write_table(units.select("grp", "id", F.md5("unit").alias("dir")), "directions")
+    return _classes(direction, direction.groupBy("grp", "dir").agg(F.min("id").alias("id"), F.max("id").alias("hi")))
+
+
+def by_asked_id(links: DataFrame, asked: DataFrame) -> DataFrame:
+    """``grp, id, q, m, sim``: the links of each asked id, that of a class (``asked``: its ``grp, id, rep``) under its own id.
+
+    A class without an asked member asks nothing, so a representative that isn't in ``asked`` is alone in its class.
+    """
+    links = write_table(links, "links")
+    reps = asked.select("grp", F.col("rep").alias("q")).distinct()
+    alone = links.join(reps, ["grp", "q"], "left_anti").withColumn("id", F.col("q"))
+    within = spread_lookup(asked.select("grp", "id", F.col("rep").alias("q")), links, ["grp", "q"], F.col("id"))
+    return within.select("grp", "id", "q", "m", "sim").union(alone.select("grp", "id", "q", "m", "sim"))
 
 
 def similar_pairs(vectors: DataFrame, min_similarity: float, **kw) -> DataFrame:

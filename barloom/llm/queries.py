@@ -46,9 +46,18 @@ def p1_found(spark, sf_dir):
 
 @register("p1_neighbours")
 def p1_neighbours(spark, sf_dir):
+    """Ten directions for each asked vec_id; ``class`` and ``neighbour`` stand for all their copies in p1_copies."""
     wide = neighbours.Probing(visit_lists=128, visit_ratio=1.6)
-    links, _ = neighbours.similar_vectors(table(spark, sf_dir, "vectors"), k=10, query_filter=F.col("id") % 50 == 0, probing=wide)
-    return links.select(F.col("grp").alias("index_name"), F.col("q").alias("vec_id"), F.col("m").alias("neighbour"), F.round("sim", 5).alias("similarity"))
+    asked = F.col("id") % 50 == 0
+    links, classes = neighbours.similar_vectors(table(spark, sf_dir, "vectors"), k=10, query_filter=asked, probing=wide)
+    links = neighbours.by_asked_id(links, classes.where(asked))
+    return links.select(F.col("grp").alias("index_name"), F.col("id").alias("vec_id"), F.col("q").alias("class"), F.col("m").alias("neighbour"), F.round("sim", 5).alias("similarity"))
+
+
+@register("p1_copies")
+def p1_copies(spark, sf_dir):
+    classes = neighbours.copies(table(spark, sf_dir, "vectors"))
+    return classes.select(F.col("grp").alias("index_name"), F.col("id").alias("vec_id"), F.col("rep").alias("class"))
 
 
 # 2: functions paired with their documentation

@@ -75,3 +75,17 @@ def test_graph_search_finds_near_centroids():
     exact = np.argsort(-(q @ g.centroids.T), axis=1)[:, :8]
     assert np.mean([len(set(a) & set(b)) / 8 for a, b in zip(ids.tolist(), exact.tolist())]) > 0.6
     assert (np.diff(sims, axis=1) <= 1e-6).all() and all(len(set(a)) == 8 for a in ids.tolist())
+
+
+def test_asked_copies_keep_their_ids(spark, tmp_path):
+    from barloom.llm.queries import QUERIES
+
+    rows, x = data(300, groups=("g", "g"))
+    same = lambda i, of, by: (i, "g", [float(v) * by for v in x[of]], None, None)
+    rows += [same(1000, 7, 2.0), same(1050, 7, 1.0), same(1001, 100, 4.0), same(2000, 30, 1.0), same(2000, 30, 1.0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "vectors.parquet"))
+    got = QUERIES["p1_neighbours"](spark, str(tmp_path)).collect()
+    assert {r.vec_id for r in got} == {0, 50, 100, 150, 200, 250, 1000, 1050, 2000} and len(got) == 90
+    assert {(r.vec_id, r["class"]) for r in got if r.vec_id != r["class"]} == {(1000, 7), (1050, 7), (2000, 30)}
+    copies = {(r.vec_id, r["class"]) for r in QUERIES["p1_copies"](spark, str(tmp_path)).collect()}
+    assert copies == {(7, 7), (1000, 7), (1050, 7), (100, 100), (1001, 100), (30, 30), (2000, 30)}
