@@ -1,14 +1,16 @@
 """Markup residue: HTML, Markdown, wiki and LaTeX chapters to clean text that keeps its structure.
 
 Method: wrapper induction.  Every page becomes a DOM tree of blocks (headings, lists, tables,
-code, formulas, paragraphs).  Pages of one host are aligned with a few reference pages of it by
-simple tree matching; nodes that stay the same in most of them are the host's template and are
-left out, varying slots are content.  Only pages that share a text with a reference are aligned:
-without one, no node can be constant.
+code, formulas, paragraphs).  Two aggregations count over all pages of a host how many hold a node
+of that label and text; nodes that at least half of the pages hold are the host's template.  They
+are left out where simple tree matching aligns them with their like in a reference page; varying
+slots are content.  The reference pages of a host are two holders of each such node, so that every
+template node can be aligned on every page.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from html.entities import html5
@@ -18,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.plans.skew import spread_lookup
+from barloom.plans.storage import write_table
 
 KINDS = ("html", "markdown", "wiki", "latex")
-#: Reference pages of a host, and the most characters of all of them that are broadcast (beyond it they are joined).
-REFERENCES = 5
+#: Distinct pages that a template node stands on at least.
+LEAST_PAGES = 3
+#: The most characters of all reference pages, and the most hosts, that are broadcast (beyond it they are joined).
 BROADCAST_CHARS = 32_000_000
 BROADCAST_HOSTS = 50_000
 
@@ -484,20 +488,24 @@ def texts_of(tree: tuple) -> set[tuple[str, str]]:
     return {(b[0], b[1]) for b in tree[2] if b[1]} | {(c[0], c[1]) for b in tree[2] for c in b[2] if c[1]}
 
 
-def template_nodes(blocks: list[tuple], references: list[tuple]) -> set[tuple]:
-    """Paths of the nodes that most references hold with the same text at the aligned place."""
+def node_key(label: str, text: str) -> int:
+    """64 bits of a node's label and text."""
+    return int.from_bytes(hashlib.blake2b(f"{label}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def template_nodes(blocks: list[tuple], references: list[tuple], constant: set[tuple[str, str]]) -> set[tuple]:
+    """Paths of the nodes that are ``constant`` (label, text) on the host and stand at the aligned place of a reference."""
     tree = _tree(blocks)
-    mine, votes = texts_of(tree), {}
-    used = [r for r in references if r[0] != tree]  # a page doesn't vouch for itself
-    for ref, texts in used:
-        if mine.isdisjoint(texts):
+    mine = texts_of(tree) & constant
+    out: set[tuple] = set()
+    for ref, texts in references:
+        if ref == tree or mine.isdisjoint(texts):  # a page doesn't vouch for itself
             continue
         for p, q in simple_tree_matching(tree, ref)[1]:
             x, y = _node(tree, p), _node(ref, q)
-            if x[1] and x[1] == y[1]:
-                votes[p] = votes.get(p, 0) + 1
-    need = max(2, (len(used) + 1) // 2)
-    return {p for p, v in votes.items() if v >= need}
+            if x[1] == y[1] and x[:2] in mine:
+                out.add(p)
+    return out
 
 
 def strip_template(blocks: list[tuple], constant: set[tuple]) -> list[tuple]:
@@ -516,6 +524,33 @@ def strip_template(blocks: list[tuple], constant: set[tuple]) -> list[tuple]:
     return out
 
 
+def _templates(pages: DataFrame) -> DataFrame:
+    """``__host, __nodes, __refs`` of each host with a template: keys of its nodes, and two holders of each of them.
+
+    Pages of equal tree count as one page.  A host has at most twice as many template nodes as a page has nodes on average.
+    """
+
+    def read(batches):
+        for b in batches:
+            trees = [_tree(Page(t).blocks) for t in b.column(1).to_pylist()]
+            page = [node_key("page", repr(t)) for t in trees]
+            nodes = [sorted({node_key(*x) for x in texts_of(t)}) for t in trees]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(page, pa.int64()), pa.array(nodes, pa.list_(pa.int64()))], ["__host", "digest", "page", "nodes"])
+
+    digest = F.xxhash64("__text")
+    read_ = pages.select("__host", "__text", digest.alias("digest")).mapInArrow(read, "__host string, digest bigint, page bigint, nodes array<bigint>")
+    one = write_table(read_.groupBy("__host", "page").agg(F.min("digest").alias("digest"), F.first("nodes").alias("nodes")), "pages")
+    total = one.groupBy("__host").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    on = F.struct("page", "digest")
+    counts = one.select("__host", on.alias("on"), F.explode("nodes").alias("node")).groupBy("__host", "node").agg(F.count("*").alias("c"), F.min("on").alias("lo"), F.max("on").alias("hi"))
+    often = spread_lookup(counts.where(F.col("c") >= LEAST_PAGES), total, ["__host"], F.col("node")).where(F.col("c") * 2 >= F.col("n"))
+    found = often.groupBy("__host").agg(F.collect_set("node").alias("__nodes"), F.array_union(F.collect_set("lo.digest"), F.collect_set("hi.digest")).alias("holders"))
+    found = write_table(found, "constant")
+    wanted = found.select("__host", F.explode("holders").alias("digest")).distinct()
+    texts = spread_lookup(pages.withColumn("digest", digest), wanted, ["__host", "digest"], F.col("digest"), "left_semi").select("__host", "digest", "__text").distinct()
+    return found.join(texts.groupBy("__host").agg(F.collect_list("__text").alias("__refs")), "__host").select("__host", "__nodes", "__refs")
+
+
 _SCHEMA = "markups array<string>, n_template int, clean string"
 
 
@@ -523,52 +558,38 @@ def clean_markup(items: DataFrame, keys: list[str], host: str, text: str, *, wit
     """``keys, markups, n_template, clean``: the markup kinds of each item and its clean text.
 
     ``markups`` holds html, markdown, wiki and latex, each if the item's own text has a construct of
-    it; what code and formulas show doesn't count.  ``n_template`` counts nodes left out because they
-    stay the same over pages of the item's ``host`` (null hosts have no template).  Null and empty
+    it; what code and formulas show doesn't count.  ``n_template`` counts nodes left out because at
+    least half of the pages of the item's ``host`` hold them (null hosts have no template).  Null and empty
     texts give no kinds and a null or empty clean text; repeated rows repeat.
     """
     src = items.select(*keys, F.col(host).cast("string").alias("__host"), F.col(text).cast("string").alias("__text"))
-    marks = [F.xxhash64(F.lit(i), *keys) for i in range(REFERENCES)]
-    full = src.where("__host is not null and __text != ''")
-    least = full.groupBy("__host").agg(*[F.min(m).alias(f"m{i}") for i, m in enumerate(marks)])
-    # one row of three marks a host: broadcast while hosts are few, else joined in spread buckets
-    named = full.select("__host", "__text", *[m.alias(f"k{i}") for i, m in enumerate(marks)])
-    few = least.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    joined = named.join(F.broadcast(least), "__host") if few else spread_lookup(named, least, ["__host"], F.col("k0"))
-    is_reference = F.greatest(*[(F.col(f"k{i}") == F.col(f"m{i}")) for i in range(REFERENCES)])
-    refs = joined.where(is_reference).select("__host", "__text").distinct()
+    hosts = write_table(_templates(src.where("__host is not null and __text != ''").select("__host", "__text")), "templates")
     spark = items.sparkSession
-    held = refs.select(F.count("*").alias("n"), F.coalesce(F.sum(F.length("__text")), F.lit(0)).alias("chars"))
-    small = held.first().chars <= BROADCAST_CHARS
-    if small:
-        by_host: dict[str, list[str]] = {}
-        for r in refs.collect():
-            by_host.setdefault(r["__host"], []).append(r["__text"])
-        shared = spark.sparkContext.broadcast(by_host)
+    chars = F.aggregate("__refs", F.lit(0), lambda a, t: a + F.length(t)) + 8 * F.size("__nodes")
+    held = hosts.select(F.count("*").alias("n"), F.coalesce(F.sum(chars), F.lit(0)).alias("chars")).first()
+    if held.chars <= BROADCAST_CHARS and held.n <= BROADCAST_HOSTS:
+        shared = spark.sparkContext.broadcast({r["__host"]: (r["__refs"], r["__nodes"]) for r in hosts.collect()})
     else:
         shared = None
-        lists = refs.groupBy("__host").agg(F.collect_list("__text").alias("__refs"))  # at most REFERENCES and ties a host
-        src = spread_lookup(src, lists, ["__host"], F.xxhash64(*keys), "left").select(*keys, "__host", "__text", "__refs")
+        src = spread_lookup(src, hosts, ["__host"], F.xxhash64(*keys), "left").select(*keys, "__host", "__text", "__refs", "__nodes")
 
     def run(batches):
-        known: dict[str, list[tuple]] = {}
+        known: dict[str, tuple[list[tuple], set]] = {}
 
         def references(h, given):
             if h not in known:
-                if shared is None:
-                    if len(known) > 200:
-                        known.clear()
-                    texts = given or []
-                else:
-                    texts = shared.value.get(h, [])
-                trees = [_tree(Page(t).blocks) for t in texts]
-                known[h] = [(t, texts_of(t)) for t in trees] if len(trees) > 1 else []
+                if shared is None and len(known) > 200:
+                    known.clear()
+                texts, nodes = shared.value.get(h, ([], [])) if shared is not None else given
+                trees = [_tree(Page(t).blocks) for t in texts or []]
+                refs, nodes = [(t, texts_of(t)) for t in trees], set(nodes or [])
+                known[h] = refs, {x for _, held in refs for x in held if node_key(*x) in nodes}
             return known[h]
 
         for batch in batches:
             k = len(keys)
             hosts, texts = batch.column(k).to_pylist(), batch.column(k + 1).to_pylist()
-            given = batch.column(k + 2).to_pylist() if shared is None else [None] * len(hosts)
+            given = list(zip(batch.column(k + 2).to_pylist(), batch.column(k + 3).to_pylist())) if shared is None else [None] * len(hosts)
             kinds, counts, clean = [], [], []
             for h, t, g in zip(hosts, texts, given):
                 if not t:
@@ -577,7 +598,7 @@ def clean_markup(items: DataFrame, keys: list[str], host: str, text: str, *, wit
                     clean.append(t)
                     continue
                 page = Page(t)
-                constant = template_nodes(page.blocks, references(h, g)) if h is not None else set()
+                constant = template_nodes(page.blocks, *references(h, g)) if h is not None else set()
                 kinds.append(sorted(page.kinds))
                 counts.append(len(constant))
                 clean.append(render(strip_template(page.blocks, constant)) if with_text else None)

@@ -137,8 +137,12 @@ def p5_pieces(spark, sf_dir):
 
 
 def _pages(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("item"), F.col("doc_id").cast("string").alias("item_key"), F.col("source").alias("host"), "content")
-    parts = table(spark, sf_dir, "sections").select(F.lit("section").alias("item"), F.concat("slug", F.lit("#"), "anchor").alias("item_key"), F.lit("sections").alias("host"), "content")
+    whole = table(spark, sf_dir, "documents")
+    docs = whole.select(F.lit("document").alias("item"), F.col("doc_id").cast("string").alias("item_key"), F.concat(F.lit("documents of "), "source").alias("host"), "content")
+    # sections have the source of their document; they are pages of their own kind, since a chapter repeats what its sections hold
+    source = whole.where("doc_id is not null and content is not null").groupBy("doc_id").agg(F.min("source").alias("source"))
+    parts = table(spark, sf_dir, "sections").join(source, "doc_id", "left")
+    parts = parts.select(F.lit("section").alias("item"), F.concat("slug", F.lit("#"), "anchor").alias("item_key"), F.concat(F.lit("sections of "), "source").alias("host"), "content")
     return docs.union(parts).where("content is not null")
 
 

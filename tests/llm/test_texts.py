@@ -100,6 +100,33 @@ def test_template_is_left_out(spark):
     assert got["x"].n_template == got["y"].n_template == 0 and got["n"].clean is None and got["e"].markups == []
 
 
+def test_template_counts_all_pages(spark):
+    """A node on half of a host's pages is template on each of them, one on fewer is content, whatever the page."""
+    page = lambda i: f"# Item {i}\n\n" + "Follow us.\n\n" * (i % 2) + "A fifth.\n\n" * (i % 5 == 0) + f"Text {i}."
+    rows = [("d", str(i), f"h{h}", page(i)) for h in range(12) for i in range(40)]
+    got = markup.clean_markup(spark.createDataFrame(rows, "item string, item_key string, host string, content string"), ["item", "item_key", "host"], "host", "content").collect()
+    assert len(got) == 480 and all(r.n_template == int(r.item_key) % 2 for r in got)
+    assert all(r.clean == page(int(r.item_key)).replace("Follow us.\n\n", "") for r in got)
+
+
+def test_template_is_joined_when_large(spark, monkeypatch):
+    rows = [("d", str(i), "h", f"# Item {i}\n\nFollow us.") for i in range(6)] + [("d", "x", "solo", "# Item 1\n\nFollow us.")]
+    monkeypatch.setattr(markup, "BROADCAST_CHARS", 0)
+    got = markup.clean_markup(spark.createDataFrame(rows, "item string, item_key string, host string, content string"), ["item", "item_key"], "host", "content").collect()
+    assert {r.item_key: r.n_template for r in got} == {**{str(i): 1 for i in range(6)}, "x": 0}
+
+
+def test_sections_have_their_documents_source(spark, tmp_path):
+    from barloom.llm.queries import QUERIES
+
+    docs = [(i, "a" if i < 6 else "b", f"Chapter {i}") for i in range(60)]
+    parts = [(i, f"s{i}", "x", f"Part {i}.\n\n" + ("Desk A, all rights reserved." if i < 6 else f"End {i}.")) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, source string, content string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(parts, "doc_id long, slug string, anchor string, content string").write.parquet(str(tmp_path / "sections.parquet"))
+    got = {r.item_key: r for r in QUERIES["p6_clean"](spark, str(tmp_path)).where("item = 'section'").collect()}
+    assert len(got) == 60 and got["s3#x"].clean == "Part 3." and got["s7#x"].clean == "Part 7.\n\nEnd 7."
+
+
 def test_tree_matching():
     t = lambda *xs: ("page", "", tuple(("p", x, ()) for x in xs))
     size, pairs = markup.simple_tree_matching(t("a", "b", "c"), t("x", "a", "c"))
