@@ -284,16 +284,21 @@ class Graph:
     # search
 
     def haystacks(self) -> DataFrame:
-        """``id, t0..t4``: lower-cased text bands of each node, best first; links are taken out."""
+        """``id, t0..t4``: lower-cased text bands of each node, best first; links are taken out.
+
+        The last band ends with the reasons of the node's outgoing edges.
+        """
         props = F.coalesce("props", F.create_map().cast("map<string,string>"))
         keys = lambda c: F.array_join(F.map_keys(F.coalesce(c, F.create_map().cast(self.nodes.schema[c].dataType))), " ")
         ranked = ["abbreviation", "formula", "reference", "interpretation", "applications", "explanation", "principles", "practices", "examples", "friendly_name", "short_description"]
         outputs = F.array_join(F.transform(F.map_values(F.coalesce("outputs", F.create_map().cast(self.nodes.schema["outputs"].dataType))), lambda o: F.concat_ws(" ", o["otype"], o["units"], o["canonical_name"], o["description"])), " ")
         rest = F.array_join(F.map_values(F.map_filter(props, lambda k, v: ~k.isin(ranked))), " ")
         authored = F.concat_ws(" ", *[props[k] for k in ranked[1:9]], keys("inputs"), F.array_join(F.map_values(F.coalesce("inputs", F.create_map().cast("map<string,string>"))), " "), keys("params"), keys("outputs"), outputs)
-        bands = [F.concat_ws(" ", "name", "id"), F.coalesce(props["abbreviation"], F.lit("")), F.coalesce("summary", F.lit("")), authored, F.concat_ws(" ", "primitive", "status", "epistemic", rest)]
+        said = self.edges.where("why is not null and why != ''").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "relation", "why"))).alias("said"))
+        nodes = self.nodes.join(said.select(F.col("src").alias("id"), F.array_join("said.why", " ").alias("reasons")), "id", "left")
+        bands = [F.concat_ws(" ", "name", "id"), F.coalesce(props["abbreviation"], F.lit("")), F.coalesce("summary", F.lit("")), authored, F.concat_ws(" ", "primitive", "status", "epistemic", rest, "reasons")]
         clean = lambda c: F.regexp_replace(F.lower(c), r"https?://\S+|www\.\S+", " ")
-        return self.nodes.select("id", "primitive", "status", "name", *[clean(b).alias(f"t{i}") for i, b in enumerate(bands)])
+        return nodes.select("id", "primitive", "status", "name", *[clean(b).alias(f"t{i}") for i, b in enumerate(bands)])
 
     def find(self, query: str = "", *, kind: str | None = None, role: str | None = None, primitive: str | None = None, status: str | None = None, requires: str | None = None, param: str | None = None, under: str | None = None) -> DataFrame:
         """``id, name, missing, tier`` in the order of missing terms, worst tier and id.

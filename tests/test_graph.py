@@ -75,6 +75,12 @@ def test_search(g):
     assert query_terms("What is the RSI of it?") == ["rsi"] and query_terms("the of") == ["the", "of"] and variants("zones") == ["zones", "zon", "zone"]
 
 
+def test_search_reads_reasons_of_outgoing_edges(g):
+    assert ids(g.find("divides")) == ["concept:momentum", "concept:trend"]  # no word of it in the nodes
+    hay = {r.id: r.t4 for r in g.haystacks().collect()}
+    assert len(hay) == 7 and hay["procedure:rsi"].endswith("another why filters") and "divides" not in hay["concept:technical-analysis"]
+
+
 def test_outputs_and_ask(g, spark):
     assert [r.id for r in g.outputs(bounded=True).collect()] == ["procedure:rsi"] and g.outputs(name="OUT", units="percent").count() == 2
     assert g.ask("zzzz qqqq").count() == 0
