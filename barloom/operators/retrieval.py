@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.graph import fuse
+from barloom.operators.graph import FUNCTION_WORDS, fuse
 from barloom.plans.storage import write_table
 
 #: Weights of the text bands, words of a chunk, chunks of a node.
@@ -62,6 +62,12 @@ def chunks_of(haystacks: DataFrame, summaries: DataFrame) -> DataFrame:
     return rows.select("id", F.posexplode(F.slice(F.concat(head, detail), 1, MAX_CHUNKS)).alias("row_no", "text"))
 
 
+def weighted_documents(haystacks: DataFrame) -> DataFrame:
+    """``id, text``: the bands of each node, every one repeated by its weight."""
+    bands = [F.array_repeat(F.col(f"t{i}"), w) for i, w in enumerate(BAND_WEIGHTS)]
+    return haystacks.select("id", F.array_join(F.concat(*bands), " ").alias("text"))
+
+
 @dataclass
 class SemanticIndex:
     """Latent semantic index: term numbers and weights, components (width x terms), and the vectors of the items."""
@@ -101,12 +107,13 @@ class SemanticIndex:
 def build_semantic_index(texts: DataFrame, width: int = 64, rounds: int = 4, seed: int = 3) -> SemanticIndex:
     """TF-IDF (sublinear, idf = ln((1 + n) / (1 + df)) + 1, unit length) reduced by a randomised SVD.
 
-    ``texts`` has ``id, text``.  Counts are two aggregations; the SVD multiplies the item rows with a
+    ``texts`` has ``id, text``; function words don't count.  Counts are two aggregations; the SVD multiplies the item rows with a
     broadcast block of the vocabulary's size per round and sums the partial products of the partitions.
     The sign of a component is arbitrary.  Items without a term have no vector.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{2,})"), F.lit(1))
-    tf = write_table(texts.where("id is not null and text is not null").select("id", F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")), "lsa")
+    known = texts.where("id is not null and text is not null").select("id", F.explode(words).alias("term")).where(~F.col("term").isin(*sorted(FUNCTION_WORDS)))
+    tf = write_table(known.groupBy("id", "term").agg(F.count("*").alias("tf")), "lsa")
     n = tf.select("id").distinct().count()
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     size = df.count()

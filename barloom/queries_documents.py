@@ -101,8 +101,7 @@ def retrieve_embeddings(spark, sf_dir):
 
 @register("retrieve_semantic")
 def retrieve_semantic(spark, sf_dir):
-    texts = table(spark, sf_dir, "nodes").select("id", F.col("summary").alias("text")).distinct()
-    return r.build_semantic_index(texts, 32).similar("the bullish envelope filters the momentum", 10)
+    return r.build_semantic_index(r.weighted_documents(graph(spark, sf_dir).haystacks()), 128).similar("the bullish envelope filters the momentum", 10)
 
 
 @register("retrieve_fused", "WITH a AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings WHERE vec_id < 60), b AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id DESC) AS r FROM embeddings WHERE vec_id < 60) SELECT CAST(vec_id AS VARCHAR) AS id, round(sum(1.0 / (5 + r)), 8) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY vec_id")

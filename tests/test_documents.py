@@ -85,3 +85,12 @@ def test_semantic_index_spans_the_same_space(spark):
     assert np.mean([int(t[1:]) % 4 == 2 for t in top]) >= 0.9 and ix.embed("zzz") is None
     assert ix.vectors.count() == 80 and ix.matches(ix.digest)
     np.testing.assert_allclose(ix.components @ ix.components.T, np.eye(4), atol=1e-6)
+
+
+def test_semantic_documents_weigh_all_bands(spark):
+    hay = spark.createDataFrame([("x", "name x", "abbr", "", "detail the", "reason"), ("y", "other", "", "", "", "reason of it")], "id string, t0 string, t1 string, t2 string, t3 string, t4 string")
+    docs = {d.id: d.text.split() for d in r.weighted_documents(hay).collect()}
+    assert [docs["x"].count(w) for w in ("name", "abbr", "detail", "reason")] == [3, 2, 1, 1]
+    ix = r.build_semantic_index(r.weighted_documents(hay), 2)
+    assert set(ix.terms) == {"name", "abbr", "detail", "reason", "other"}  # no function words
+    assert {d.id for d in ix.similar("the reason", 5).collect()} == {"x", "y"}  # both lack a summary
