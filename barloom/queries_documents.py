@@ -112,6 +112,19 @@ def retrieve_fused(spark, sf_dir):
     return r.fuse_rankings(a, b).select("id", F.round("score", 8).alias("score"))
 
 
+_RANKED = """AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SELECT CAST(vec_id AS VARCHAR) AS id, max(list_inner_product(v, q) / sqrt(list_inner_product(v, v) * list_inner_product(q, q))) AS score
+FROM e, (SELECT v AS q FROM e WHERE vec_id = (SELECT {}(vec_id) FROM embeddings)) GROUP BY vec_id) QUALIFY r <= 60)"""
+
+
+@register("retrieve_fused_dense", f"WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), a {_RANKED.format('min')}, b {_RANKED.format('max')} SELECT id, round(sum(1.0 / (5 + r)), 8) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id")
+def retrieve_fused_dense(spark, sf_dir):
+    """The 60 nearest of all embeddings to each of two questions, fused."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vec"), "vec_id")
+    first, last = e.orderBy("vec_id").first()["vec"], e.orderBy(F.desc("vec_id")).first()["vec"]
+    a, b = (r.ranking(r.dense_similar(e, q, 60), name) for q, name in ((first, "a"), (last, "b")))
+    return r.fuse_rankings(a, b).select("id", F.round("score", 8).alias("score"))
+
+
 @register("retrieve_chunks")
 def retrieve_chunks(spark, sf_dir):
     g = graph(spark, sf_dir)

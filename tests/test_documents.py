@@ -87,6 +87,22 @@ def test_semantic_index_spans_the_same_space(spark):
     np.testing.assert_allclose(ix.components @ ix.components.T, np.eye(4), atol=1e-6)
 
 
+def test_fused_ranks_the_whole_table(spark, tmp_path):
+    from barloom.queries_documents import retrieve_fused_dense
+
+    x = np.random.default_rng(5).normal(size=(200, 8))
+    x[150] = x[0] * 2
+    spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {row.id: row.score for row in retrieve_fused_dense(spark, str(tmp_path)).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want: dict = {}
+    for q in (0, 199):
+        near = [i for i in np.argsort(-(u @ u[q])) if i not in (0, 150)] if q == 0 else list(np.argsort(-(u @ u[q])))
+        for rank, i in enumerate(([0, 150] + near if q == 0 else near)[:60], 1):
+            want[str(i)] = want.get(str(i), 0) + 1 / (5 + rank)
+    assert set(got) == set(want) and "150" in got and all(abs(got[i] - w) < 1e-6 for i, w in want.items())
+
+
 def test_semantic_documents_weigh_all_bands(spark):
     hay = spark.createDataFrame([("x", "name x", "abbr", "", "detail the", "reason"), ("y", "other", "", "", "", "reason of it")], "id string, t0 string, t1 string, t2 string, t3 string, t4 string")
     docs = {d.id: d.text.split() for d in r.weighted_documents(hay).collect()}
