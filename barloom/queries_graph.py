@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators import graph_store as gs
+from barloom.operators import retrieval as r
 from barloom.operators.graph import BACKBONE, RELATIONS, Graph, query_terms, variants
 from barloom.queries import register, table
 
@@ -98,7 +99,13 @@ def graph_all_paths(spark, sf_dir):
 
 @register("graph_ask")
 def graph_ask(spark, sf_dir):
-    return graph(spark, sf_dir).materialise().ask("which bullish envelope filters the momentum", hops=1)
+    """Seeds from search, the semantic index and the vectors near a given one of the same index."""
+    g, question = graph(spark, sf_dir).materialise(), "which bullish envelope filters the momentum"
+    v = table(spark, sf_dir, "vectors")
+    given = v.where("vec_id = 7 and size(vec) = 64").first()
+    near = r.dense_similar(v.where(F.col("index_name") == given["index_name"]), given["vec"], 60, subset=g.nodes)
+    means = r.build_semantic_index(r.weighted_documents(g.haystacks()), 128).similar(question, 60)
+    return g.ask(question, r.ranking(means, "semantic").unionByName(r.ranking(near, "dense")), hops=1)
 
 
 # the store

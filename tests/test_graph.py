@@ -91,6 +91,19 @@ def test_outputs_and_ask(g, spark):
     assert cap(g.nodes, 2).truncated and cap(g.nodes, None).total == 7
 
 
+def test_registered_ask_fuses_meaning_and_vectors(g, spark, tmp_path):
+    from barloom.queries_graph import graph_ask
+
+    nodes = [node("concept:a", "Bullish envelope", "which filters momentum"), node("concept:b", "Plain"), node("concept:c", "Silent")]
+    spark.createDataFrame(nodes, NODES).write.parquet(str(tmp_path / "nodes.parquet"))
+    spark.createDataFrame([], EDGES).write.parquet(str(tmp_path / "edges.parquet"))
+    unit = [1.0] + [0.0] * 63
+    vectors = [(7, "dense", unit, "concept:c"), (8, "other", unit, "concept:b"), (9, "dense", unit, "concept:gone")]
+    spark.createDataFrame(vectors, "vec_id long, index_name string, vec array<float>, id string").write.parquet(str(tmp_path / "vectors.parquet"))
+    got = {r.id: r.score for r in graph_ask(spark, str(tmp_path)).collect()}
+    assert got["concept:c"] >= 1 / 6 - 1e-9 and "concept:gone" not in got and got["concept:a"] >= 2 / 6 - 1e-9
+
+
 def test_store(spark, tmp_path):
     n = lambda *rows: spark.createDataFrame(list(rows), "id string, primitive string, status string")
     e = lambda *rows: spark.createDataFrame(list(rows), "src string, dst string, relation string")
