@@ -3,7 +3,9 @@
 Method: speculate and verify.  The distinct words of a batch are cut by greedy longest
 match; a sequence of tokens is what the merges would give if and only if each two neighbours
 are, so one vectorised test over all adjacent pairs verifies all words at once, and only the
-words that fail it are merged exactly.  Verified words are kept in a cache of the worker.
+words that fail it are merged exactly.  A long word is merged exactly only around the borders that
+fail, and the widened result is verified again, so its cost stays near its length.  Verified words
+are kept in a cache of the worker.
 
 The driver derives the tables (token split by its last merge, sorted merge pairs) from the
 rank file once and broadcasts them; their size is that of the vocabulary.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import heapq
 import pickle
 from collections.abc import Iterator
 
@@ -28,6 +31,10 @@ BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries after which a worker's word cache starts anew (memory only; results don't depend on it).
 CACHE_WORDS = 400_000
+#: Words over so many characters aren't kept in the cache.
+CACHE_CHARS = 256
+#: Bytes up to which a word is merged as a whole by scanning for the lowest merge.
+SCAN_BYTES = 128
 #: Characters of text encoded per output batch.
 BATCH_CHARS = 4_000_000
 _SHIFT = 20
@@ -62,6 +69,7 @@ class Vocabulary:
         whole = {t: r for t, r in ranks.items() if len(t) == 1 or self.left[r] != r}
         self.speculated = whole
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        self.token_of = {r: t for t, r in ranks.items()}
 
     def greedy(self, word: bytes) -> list[int]:
         """Longest match first."""
@@ -104,7 +112,37 @@ class Vocabulary:
         return fine
 
     def exact(self, word: bytes) -> list[int]:
-        return _merge([self.byte_ids[c] for c in word], self.pairs)
+        merge = _merge if len(word) <= SCAN_BYTES else _merge_long
+        return merge([self.byte_ids[c] for c in word], self.pairs)
+
+    def _fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys, back = np.unique((a << _SHIFT) | b, return_inverse=True)
+        return self.compatible(keys >> _SHIFT, keys & ((1 << _SHIFT) - 1))[back]
+
+    def repair(self, word: bytes, ids: list[int]) -> list[int]:
+        """The tokens of a long word from a first guess: stretches around failing borders are merged exactly.
+
+        A stretch that borders a failing pair after its merge is widened, to twice its tokens at
+        least, until all pairs are compatible; at worst the whole word is one stretch.
+        """
+        tokens = np.array(ids, np.int64)
+        reach = 2
+        while len(tokens) > 1:
+            bad = np.flatnonzero(~self._fits(tokens[:-1], tokens[1:]))
+            if not len(bad):
+                break
+            ends = np.concatenate(([0], np.cumsum([len(self.token_of[t]) for t in tokens])))
+            parts, done, i = [], 0, 0
+            while i < len(bad):
+                lo, hi = max(done, bad[i] - reach + 1), min(len(tokens), bad[i] + 1 + reach)
+                while i + 1 < len(bad) and bad[i + 1] - reach + 1 <= hi:
+                    i += 1
+                    hi = min(len(tokens), bad[i] + 1 + reach)
+                parts += [tokens[done:lo], np.array(self.exact(word[ends[lo] : ends[hi]]), np.int64)]
+                done, i = hi, i + 1
+            tokens = np.concatenate([*parts, tokens[done:]])
+            reach *= 2
+        return tokens.tolist()
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Token ids of each word (a match of the pre-split pattern)."""
@@ -118,11 +156,9 @@ class Vocabulary:
             owner = np.repeat(np.arange(len(many)), lens)
             inner = owner[1:] == owner[:-1]
             a, b, own = flat[:-1][inner], flat[1:][inner], owner[1:][inner]
-            keys, back = np.unique((a << _SHIFT) | b, return_inverse=True)
-            good = self.compatible(keys >> _SHIFT, keys & ((1 << _SHIFT) - 1))[back]
-            for j in np.unique(own[~good]):
+            for j in np.unique(own[~self._fits(a, b)]):
                 i = many[j]
-                ids[i] = self.exact(raw[i])
+                ids[i] = self.exact(raw[i]) if len(raw[i]) <= SCAN_BYTES else self.repair(raw[i], ids[i])
         return ids
 
 
@@ -146,6 +182,29 @@ def _merge(parts: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
     return parts
 
 
+def _merge_long(parts: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
+    """The same by a heap over linked positions, for long words."""
+    n, get = len(parts), pairs.get
+    parts, after, before = list(parts), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i) for i, p in enumerate(zip(parts, parts[1:])) if (r := get(p)) is not None]
+    heapq.heapify(heap)
+    while heap:
+        low, i = heapq.heappop(heap)
+        j = after[i]
+        if parts[i] < 0 or j >= n or get((parts[i], parts[j])) != low:
+            continue  # one of the two was taken up before
+        parts[i], parts[j] = low, -1
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if (r := get((low, parts[k]))) is not None:
+                heapq.heappush(heap, (r, i))
+        h = before[i]
+        if h >= 0 and (r := get((parts[h], low))) is not None:
+            heapq.heappush(heap, (r, h))
+    return [p for p in parts if p >= 0]
+
+
 @functools.lru_cache(maxsize=4)
 def load_vocabulary(path: str) -> Vocabulary:
     ranks = {}
@@ -175,11 +234,16 @@ class Encoder:
         if len(self.cache) + len(missing) > CACHE_WORDS:
             self.cache.clear()
             missing = seen
+        held = self.cache
         if missing:
             fresh = list(missing)
-            self.cache.update(zip(fresh, self.vocabulary.encode_words(fresh)))
-        get = self.cache.__getitem__
-        return [[i for ids in map(get, words) for i in ids] for words in split]
+            held.update(zip(fresh, self.vocabulary.encode_words(fresh)))
+        get = held.__getitem__
+        out = [[i for ids in map(get, words) for i in ids] for words in split]
+        for w in missing:
+            if len(w) > CACHE_CHARS:
+                del held[w]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

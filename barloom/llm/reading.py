@@ -1,8 +1,9 @@
 """Reading level: regularised ordinal regression over text features, calibrated to graded texts.
 
 Features of a text: lexical diversity, word rarity, connectives, a clause-depth proxy and
-lengths.  Rarity needs the corpus frequency of words; they are counted in a table of fixed size
-(``BUCKETS`` hash buckets), so that what is broadcast doesn't grow with the corpus.  The
+lengths.  Rarity is the negative log of a word's share of all words of the corpus, which are
+counted exactly; shares under ``LEAST_SHARE`` count as that share, so at most 1 / LEAST_SHARE
+words have a rarity of their own and what is broadcast doesn't grow with the corpus.  The
 proportional-odds model is fitted on the driver from the features of the graded texts, of
 which at most ``MAX_GRADES`` ratings are used.
 """
@@ -10,7 +11,6 @@ which at most ``MAX_GRADES`` ratings are used.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -18,20 +18,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets of the word-frequency table (2 MB of counts).
-BUCKETS = 1 << 18
+from barloom.plans.storage import write_table
+
+#: The share of all words at which rarity ends: rarer words are equally rare.
+LEAST_SHARE = 2e-6
+#: Distinct words a task holds before it passes their counts on, or starts its table of words anew (memory only).
+HELD_WORDS = 300_000
 #: Ratings used to fit the model; beyond it those of smallest hash.
 MAX_GRADES = 20_000
 GRADES = ("easy", "middle", "advanced")
 #: Abbreviations after which a full stop ends no sentence.
 ABBREVIATIONS = ["e.g", "i.e", "cf", "vs", "etc", "viz", "ca", "approx", "resp", "al", "fig", "eq", "mr", "mrs", "ms", "dr", "prof", "st", "jr", "sr", "inc", "ltd"]
-CONNECTIVES = frozenset(
-    "although because whereas while since unless until though if when therefore however moreover furthermore thus hence "
-    "consequently nevertheless nonetheless notwithstanding insofar despite after before whether and but or so yet that which who whose whereby".split()
-)
-SUBORDINATORS = frozenset(
-    "although because whereas while since unless until though if when notwithstanding insofar whether that which who whose whereby despite as".split()
-)
+#: Words that link sentences and main clauses, and words that open a subordinate clause, by language (English else).
+CONNECTIVES = {
+    "en": frozenset("and but or nor so yet therefore however moreover furthermore thus hence consequently nevertheless nonetheless accordingly besides likewise otherwise meanwhile instead finally".split()),
+    "de": frozenset("und aber oder denn doch jedoch deshalb daher darum folglich außerdem zudem dennoch trotzdem ferner hingegen allerdings sonst schließlich also".split()),
+    "fr": frozenset("et mais ou donc or ni car cependant toutefois néanmoins ainsi pourtant ensuite enfin aussi par conséquent d'ailleurs".split()),
+    "es": frozenset("y e o u pero sino pues entonces además asimismo sin embargo no obstante así luego finalmente tampoco".split()),
+}
+SUBORDINATORS = {
+    "en": frozenset("although because whereas while since unless until though if when whenever where notwithstanding insofar despite whether that which who whom whose whereby as after before once".split()),
+    "de": frozenset("dass weil obwohl während wenn falls sofern bevor nachdem damit indem sobald solange ob welche welcher welches deren dessen wobei wodurch da als".split()),
+    "fr": frozenset("que qui quand lorsque puisque parce quoique bien si comme dont où lequel laquelle afin tandis avant après".split()),
+    "es": frozenset("que porque aunque cuando mientras si como donde quien cuyo cuya cual puesto para antes después".split()),
+}
 FEATURES = ("diversity", "rarity", "connectives", "clause_depth", "log_words_per_sentence", "letters_per_word", "long_words")
 
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
@@ -41,27 +51,29 @@ _PAUSE = re.compile(r"[,;:(]|[—–]")
 
 
 class _Words:
-    """What is known of each word, looked up once per worker."""
+    """What is known of each word of a language, looked up once per worker."""
 
-    def __init__(self, log_rarity: np.ndarray | None):
-        self.rarity_of, self.index = log_rarity, {}
-        self.rows: list[tuple[float, float, float, float, float]] = []
+    def __init__(self, rarity: dict[str, float] | None, lang: str = "en"):
+        self.rarity, self.most = rarity or {}, -np.log(LEAST_SHARE) if rarity else 0.0
+        self.connectives, self.subordinators = CONNECTIVES.get(lang, CONNECTIVES["en"]), SUBORDINATORS.get(lang, SUBORDINATORS["en"])
+        self.index: dict[str, int] = {}
+        self.table = np.zeros((1024, 5))
 
-    def __call__(self, words: list[str]) -> np.ndarray:
+    def learn(self, words: set[str]) -> None:
         index = self.index
-        for w in set(words).difference(index):
+        if len(index) > HELD_WORDS:
+            index.clear()
+        fresh = words.difference(index)
+        at, need = len(index), len(index) + len(fresh)
+        if need > len(self.table):
+            self.table = np.concatenate((self.table, np.zeros((max(need, 2 * len(self.table)) - len(self.table), 5))))
+        for i, w in enumerate(fresh, at):
             letters = len(w) - sum(w.count(c) for c in "-'’")
-            rare = float(self.rarity_of[bucket(w)]) if self.rarity_of is not None else 0.0
-            index[w] = len(self.rows)
-            self.rows.append((letters, rare, w in CONNECTIVES, w in SUBORDINATORS, letters >= 9))
-        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-
-    def table(self) -> np.ndarray:
-        return np.array(self.rows, float).reshape(-1, 5)
-
+            index[w] = i
+            self.table[i] = letters, self.rarity.get(w, self.most), w in self.connectives, w in self.subordinators, letters >= 9
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) & (BUCKETS - 1)
+    def __call__(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
 
 def sentences(text: str) -> int:
@@ -76,13 +88,16 @@ def sentences(text: str) -> int:
     return n + bool(_WORD.search(text, last))
 
 
-def text_features(text: str | None, known: _Words) -> tuple:
-    """(n_words, n_sentences, words per sentence, letters per word, features...) of one text; no words give nulls."""
-    words = _WORD.findall(text.lower()) if text else []
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
+
+
+def text_features(text: str | None, words: list[str], known: _Words) -> tuple:
+    """(n_words, n_sentences, words per sentence, letters per word, features...) of one text whose words are known; no words give nulls."""
     if not words:
         return (0, 0, None, None) + (None,) * len(FEATURES)
     at = known(words)
-    seen = known.table_now[at]
+    seen = known.table[at]
     n, ends = len(words), max(1, sentences(text))
     letters, rare, connect, sub, long = seen.sum(0)
     span = 100  # windows of equal size, so that the measure doesn't fall with length
@@ -96,25 +111,25 @@ def text_features(text: str | None, known: _Words) -> tuple:
     return (n, ends, per, letters / n, diversity, rare / n, connect / n, (sub + pauses) / ends, float(np.log(per)), letters / n, long / n)
 
 
-def _word_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """Corpus counts of words by bucket, over all documents; at most BUCKETS rows reach the driver."""
+def word_rarity(docs: DataFrame, text: str) -> dict[str, float]:
+    """The negative log share of each word of at least LEAST_SHARE, counted over all documents: at most 1 / LEAST_SHARE words."""
 
     def count(batches):
-        total = np.zeros(BUCKETS, np.int64)
+        seen: Counter = Counter()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "replace").decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
         for batch in batches:
-            seen: Counter = Counter()
             for t in batch.column(0).to_pylist():
-                if t:
-                    seen.update(_WORD.findall(t.lower()))
-            if seen:
-                np.add.at(total, [bucket(w) for w in seen], list(seen.values()))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["bucket", "n"])
+                seen.update(words_of(t))
+                if len(seen) > HELD_WORDS:
+                    yield out()
+                    seen.clear()
+        yield out()
 
-    rows = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS)
-    out[rows["bucket"].to_numpy(int)] = rows["n"].to_numpy(float)
-    return out
+    rows = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = write_table(rows, "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    held = counts.where(F.col("n") >= F.lit(LEAST_SHARE * total)).toPandas()
+    return dict(zip(held["word"], np.log(total / held["n"].to_numpy(float)).tolist()))
 
 
 def fit_ordinal(x: np.ndarray, grade: np.ndarray, ridge: float = 1.0, rounds: int = 400) -> dict:
@@ -154,14 +169,16 @@ def _features(docs: DataFrame, keep: list[str], text: str, rarity, model: dict |
     names = ["n_words", "n_sentences", "words_per_sentence", "letters_per_word"]
 
     def run(batches):
-        known = _Words(rarity.value)
+        known: dict[str, _Words] = {}
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for t in texts:
-                if t:
-                    known(_WORD.findall(t.lower()))
-            known.table_now = known.table()
-            rows = [text_features(t, known) for t in texts]
+            texts, langs = batch.column(batch.num_columns - 1).to_pylist(), batch.column(batch.num_columns - 2).to_pylist()
+            langs = [x if x in CONNECTIVES else "en" for x in langs]
+            rows: list = []
+            for at in range(0, len(texts), 512):
+                part = [(t, words_of(t), x) for t, x in zip(texts[at : at + 512], langs[at : at + 512])]
+                for x in {x for _, _, x in part}:
+                    known.setdefault(x, _Words(rarity.value, x)).learn({w for _, ws, y in part if y == x for w in ws})
+                rows += [text_features(t, ws, known[x]) for t, ws, x in part]
             cols = list(zip(*rows)) if rows else [[]] * (4 + len(FEATURES))
             out = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())]
             if model is None:
@@ -174,18 +191,17 @@ def _features(docs: DataFrame, keep: list[str], text: str, rarity, model: dict |
                 level = np.array(GRADES, object)[grade_of(score, model)]
                 out += [pa.array(score, pa.float64(), mask=none), pa.array(level.tolist(), pa.string(), mask=none)]
                 labels = [*names, "score", "level"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], [*keep, *labels])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *out], [*keep, *labels])
 
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     schema += ", n_words bigint, n_sentences bigint, words_per_sentence double, letters_per_word double, "
     schema += ", ".join(f"f_{f} double" for f in FEATURES) if model is None else "score double, level string"
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("lang").cast("string").alias("__lang"), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", max_grades: int = MAX_GRADES):
     """The broadcast rarity table and the fitted model."""
-    counts = _word_counts(docs, text)
-    rarity = docs.sparkSession.sparkContext.broadcast(np.log((counts.sum() + BUCKETS) / (counts + 1)).astype(np.float32))
+    rarity = docs.sparkSession.sparkContext.broadcast(word_rarity(docs, text))
     order = F.xxhash64("doc_id", "rater", "grade")
     used = labels.select("doc_id", "rater", "grade").distinct().where(F.col("doc_id").isNotNull() & F.col("grade").isin(*GRADES)).orderBy(order).limit(max_grades)
     graded = docs.join(F.broadcast(used.select("doc_id").distinct()), "doc_id", "left_semi")  # at most max_grades rows

@@ -2,9 +2,11 @@
 
 Method: the item's code points become one array; the prefix sums of its tokens (runs without
 blanks, tabs and line ends) give the sorted offsets at which it may be cut, in classes from
-paragraph to blank.  Each cut is the last boundary under the limit, found by binary search in
-the strongest class that reaches past half the limit; the next piece starts at the last token
-border that leaves the overlap.  Where a run has no boundary the cut is hard.
+paragraph to blank.  Scripts without blanks pause inside a token: behind their own full stops
+and commas, with the quotes and brackets that close there.  Each cut is the last boundary under
+the limit, found by binary search in the strongest class that reaches past half the limit; the
+next piece starts at the last border that leaves the overlap.  Where a run has no boundary the
+cut is hard.
 """
 
 from __future__ import annotations
@@ -15,23 +17,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _BLANKS = (0x20, 0x09, 0x0A, 0x0D)
-_STOPS = (0x2E, 0x21, 0x3F, 0x3B, 0x3002, 0xFF01, 0xFF1F)
-CLASSES = ("paragraph", "line", "sentence", "blank")
+#: Marks that end a sentence or a clause, those of them that need no blank behind, and what closes behind them.
+_STOPS = tuple(map(ord, ".!?;。！？｡…"))
+_PAUSES = tuple(map(ord, ",:，、；："))
+_WIDE_STOPS = tuple(map(ord, "。！？｡"))
+_WIDE_PAUSES = tuple(map(ord, "，、；："))
+_CLOSERS = tuple(map(ord, "\"')]}”’»」』）】〉》"))
+CLASSES = ("paragraph", "line", "sentence", "clause", "blank")
+
+
+def _behind(code: np.ndarray, marks: tuple) -> np.ndarray:
+    """Offsets behind each of the marks and the closing quotes and brackets that follow it."""
+    at = np.flatnonzero(np.isin(code, marks)) + 1
+    if not len(at):
+        return at
+    closes = np.append(np.isin(code, _CLOSERS), False)
+    open_at = np.flatnonzero(~closes)  # the first code point from each offset on that closes nothing
+    return open_at[np.searchsorted(open_at, at)]
 
 
 def boundaries(code: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], int]:
-    """Token starts, the ends of tokens at which each class allows a cut, and the longest token."""
-    blank = (code == 0x20) | (code == 0x09) | (code == 0x0A) | (code == 0x0D)
+    """Borders at which a piece may start, the offsets at which each class allows a cut, and the longest token."""
+    blank = np.isin(code, _BLANKS)
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
-        return starts, [starts] * 4, 0
+        return starts, [starts] * len(CLASSES), 0
     breaks = (code == 0x0A) | ((code == 0x0D) & np.append(code[1:] != 0x0A, True))
     total = np.concatenate(([0], np.cumsum(breaks)))
     gap = np.append(total[starts[1:]], total[-1]) - total[ends]  # line ends between a token and the next
-    last = code[ends - 1]
-    stop = np.isin(last, _STOPS)
-    return starts, [ends[gap >= 2], ends[gap >= 1], ends[stop], ends], int((ends - starts).max())
+    stops = np.union1d(np.intersect1d(_behind(code, _STOPS), ends), _behind(code, _WIDE_STOPS))
+    pauses = np.union1d(np.intersect1d(_behind(code, _PAUSES), ends), _behind(code, _WIDE_PAUSES))
+    inner = np.setdiff1d(np.union1d(_behind(code, _WIDE_STOPS), _behind(code, _WIDE_PAUSES)), ends)
+    return np.union1d(starts, inner), [ends[gap >= 2], ends[gap >= 1], stops, pauses, ends], int((ends - starts).max())
 
 
 def split_text(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int, str]], int]:
@@ -43,7 +61,7 @@ def split_text(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int
     starts, classes, longest = boundaries(code)
     if not len(starts):
         return [], 0
-    ends = classes[3]
+    ends = classes[-1]
     at, stop, pieces, done = int(starts[0]), int(ends[-1]), [], 0
     while stop - at > limit:
         cut, kind = at + limit, "hard"
@@ -73,7 +91,7 @@ def split_items(items: DataFrame, keys: list[str], text: str, *, limit: int, ove
 
     Offsets count code points of the original text from 0; pieces hold at most ``limit`` of
     them, and consecutive pieces share at least ``overlap``.  ``cut`` names the boundary the
-    piece ends at (paragraph, line, sentence, blank, hard, or end).  ``n_chars`` is the length
+    piece ends at (paragraph, line, sentence, clause, blank, hard, or end).  ``n_chars`` is the length
     without outer blanks, ``longest_run`` that of the longest run without a boundary.  An item
     within the limit is one piece; null, empty and blank items have none.  Repeated rows repeat.
     """

@@ -30,7 +30,7 @@ def test_log_entropy(spark):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab .\n\t\r!é市𝒳", max_size=400), st.integers(8, 60), st.integers(0, 3))
+@given(st.text(alphabet="ab .,\n\t\r!é市。、」𝒳", max_size=400), st.integers(8, 60), st.integers(0, 3))
 def test_pieces_cover_the_text(text, limit, overlap):
     pieces, longest = split_text(text, limit, overlap)
     body = text.strip(" \t\r\n")
@@ -56,6 +56,18 @@ def test_cuts_prefer_strong_boundaries():
     assert split_text("x" * 50, 20, 5)[0][0] == (0, 20, "hard")
 
 
+def test_cuts_in_scripts_without_blanks():
+    sentence = "市场" * 11 + "上涨。"  # 25 characters
+    text = sentence * 150
+    pieces, _ = split_text(text, 2000, 200)
+    assert len(pieces) > 1 and {k for _, _, k in pieces[:-1]} == {"sentence"}
+    assert all(text[b - 1] == "。" for _, b, _ in pieces) and all(a % 25 == 0 for a, _, _ in pieces)
+    quoted = split_text("「" + "値" * 10 + "。」" + "値" * 30, 24, 0)[0]
+    assert quoted[0] == (0, 13, "sentence")
+    assert split_text("値" * 15 + "、" + "値" * 15, 20, 0)[0][0] == (0, 16, "clause")
+    assert split_text('He said "stop." Then he went on', 20, 0)[0][0] == (0, 15, "sentence")
+
+
 def test_split_items(spark):
     rows = [("d", "1", None, "k"), ("d", "2", "", "k"), ("d", "3", " \n", "k"), ("d", "4", "short", "k"), ("d", "5", "word " * 300_000, "k")]
     got = split_items(spark.createDataFrame(rows, "item string, item_key string, content string, cut string"), ["item", "item_key"], "content", limit=2000, overlap=200, with_text=True)
@@ -203,6 +215,15 @@ def test_diversity_reads_to_the_end(n, want):
     letters = "abcdefghij"
     words = [a + b for a in letters for b in letters] + ["same"] * (n - 100)
     known = reading._Words(None)
-    known(words)
-    known.table_now = known.table()
-    assert reading.text_features(" ".join(words), known)[4] == pytest.approx(want)
+    known.learn(set(words))
+    assert reading.text_features(" ".join(words), words, known)[4] == pytest.approx(want)
+
+
+def test_word_rarity_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(reading, "HELD_WORDS", 3)  # counts are passed on in parts
+    docs = spark.createDataFrame([("a b c d e f a",), ("A b",), (None,), ("",)], "text string")
+    got = reading.word_rarity(docs, "text")
+    assert got == pytest.approx({"a": math.log(3), "b": math.log(4.5), **{w: math.log(9) for w in "cdef"}})
+    monkeypatch.setattr(reading, "LEAST_SHARE", 0.2)
+    assert set(reading.word_rarity(docs, "text")) == {"a", "b"}
+    assert reading.word_rarity(docs.limit(0), "text") == {}
