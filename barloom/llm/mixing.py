@@ -1,18 +1,23 @@
 """Mixing sources to target weights.
 
-Method: multivariate-hypergeometric splitting tree.  Every source's quota is cut into blocks;
-the block counts are split down a binary tree over the output shards, each split drawn from
-the multivariate hypergeometric distribution, so that each shard gets an exact, random number
-of blocks of each source.  Blocks are disjoint ranges of a hash permutation, hence a block's
-number already is random, and shards take consecutive numbers.  Records are shuffled inside
-their shard only.
+Method: multivariate-hypergeometric splitting tree.  Every source's quota is a hash permutation of
+its uses, cut into blocks: consecutive ranges of the running sum of tokens, all of the same size but
+for the last.  The block counts are split down a binary tree over the output shards, each split
+drawn from the multivariate hypergeometric distribution, so that each shard gets an exact, random
+number of blocks of each source.  The permutation is random, hence shards take consecutive blocks,
+which are disjoint.  Records are shuffled inside their shard only.  The upper tree is one task a
+mix, its subtrees are tasks of their own; the driver sees one row a target.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp, floor, lgamma, log, sqrt
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,34 +31,82 @@ SHARD_TOKENS = 200_000
 BUCKET_DOCS = 5_000
 
 
+#: Shards of a subtree that one task splits to the end.
+SUBTREE = 4_096
+_NODES = "mix_id string, sources array<string>, shards long, total long, lo long, hi long, counts array<long>, first array<long>"
+
+
 @dataclass
 class Mix:
     draw: DataFrame
     shares: DataFrame
 
 
-def split_tree(blocks: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """Block counts (shards x sources) that sum to ``blocks`` over shards; shard sizes differ by at most one."""
-    out = np.zeros((shards, len(blocks)), np.int64)
+def hypergeometric(good: int, bad: int, draws: int, rng: np.random.Generator) -> int:
+    """Good ones among ``draws`` without replacement, of any size (the generator itself ends at 10**9)."""
+    if max(good, bad) < 10**9:
+        return int(rng.hypergeometric(good, bad, draws)) if good and bad else draws if good else 0
+    n, least, most = good + bad, max(0, draws - bad), min(good, draws)
+    if least == most:
+        return least
+    mean, mode = draws * good / n, (draws + 1) * (good + 1) // (n + 2)
+    weight = lambda k: -lgamma(k + 1) - lgamma(good - k + 1) - lgamma(draws - k + 1) - lgamma(bad - draws + k + 1)
+    top, spread = weight(mode), sqrt(mean * bad / n * (n - draws) / (n - 1) + 0.5)
+    width = 2 * sqrt(2 / exp(1)) * spread + 3 - 2 * sqrt(3 / exp(1))
+    while True:  # ratio of uniforms
+        u, v = 1 - rng.random(), rng.random()
+        k = floor(mean + 0.5 + width * (v - 0.5) / u)
+        if least <= k <= most and 2 * log(u) <= weight(k) - top:
+            return k
+
+
+def split_counts(counts: list[int], draws: int, rng: np.random.Generator) -> list[int]:
+    """A multivariate hypergeometric draw of ``draws`` blocks, source by source."""
+    out, rest = [], sum(counts)
+    for c in counts:
+        rest -= c
+        out.append(hypergeometric(c, rest, draws, rng))
+        draws -= out[-1]
+    return out
 
-    def size(lo: int, hi: int, total: int) -> int:
-        return total * hi // shards - total * lo // shards
 
-    def split(lo: int, hi: int, counts: np.ndarray) -> None:
-        if hi - lo == 1:
-            out[lo] = counts
-            return
+def descend(node: tuple, stop: int, seed: int) -> Iterator[tuple]:
+    """The subtrees of at most ``stop`` shards below a node ``(mix, sources, shards, total, lo, hi, counts, first)``.
+
+    Shards differ by at most one block; a node's split depends on its place alone, so a task run again gives the same.
+    """
+    todo = [node]
+    while todo:
+        mix, sources, shards, total, lo, hi, counts, first = todo.pop()
+        if hi - lo <= stop:
+            yield mix, sources, shards, total, lo, hi, counts, first
+            continue
         mid = (lo + hi) // 2
-        left = rng.multivariate_hypergeometric(counts, size(lo, mid, int(blocks.sum())), method="marginals") if counts.sum() else counts
-        split(lo, mid, left)
-        split(mid, hi, counts - left)
+        rng = np.random.default_rng([seed, zlib.crc32(mix.encode()), lo, hi])
+        left = split_counts(counts, total * mid // shards - total * lo // shards, rng)
+        right = [c - x for c, x in zip(counts, left)]
+        todo.append((mix, sources, shards, total, mid, hi, right, [f + x for f, x in zip(first, left)]))
+        todo.append((mix, sources, shards, total, lo, mid, left, first))
 
-    if shards:
-        split(0, shards, blocks.astype(np.int64))
-    return out
 
+def _descend(nodes: DataFrame, stop: int, seed: int) -> DataFrame:
+    names = [c.split()[0] for c in _NODES.split(", ")]
+
+    def run(batches):
+        for pdf in batches:
+            rows = ((r.mix_id, list(r.sources), int(r.shards), int(r.total), int(r.lo), int(r.hi), [int(x) for x in r.counts], [int(x) for x in r.first]) for r in pdf.itertuples())
+            part: list = []
+            for row in (x for r in rows for x in descend(r, stop, seed)):
+                part.append(row)
+                if len(part) == 10_000:
+                    yield pd.DataFrame(part, columns=names)
+                    part = []
+            yield pd.DataFrame(part, columns=names)
+
+    return nodes.mapInPandas(run, _NODES)
 
-def mix_sources(documents: DataFrame, targets: DataFrame, *, text: str = "text", block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, bucket_docs: int = BUCKET_DOCS, seed: int = 7) -> Mix:
+
+def mix_sources(documents: DataFrame, targets: DataFrame, *, text: str = "text", block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, bucket_docs: int = BUCKET_DOCS, subtree: int = SUBTREE, seed: int = 7) -> Mix:
     """Draw each mix of ``targets`` (mix_id, source, target_weight, max_repeats, budget_tokens).
 
     ``draw``: ``mix_id, shard, position, doc_id, source, copy_no, n_tokens``, one row per use of a
@@ -112,24 +165,29 @@ def mix_sources(documents: DataFrame, targets: DataFrame, *, text: str = "text",
 
     got = used.groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("n_tokens"), F.sum("uses").alias("n_uses"), F.count("*").alias("n_docs"), F.max("uses").alias("most_uses"))
     reached = {(r.mix_id, r.source): r for r in got.collect()}  # one row per target
-    rng = np.random.default_rng(seed)
-    cuts = []
+    roots, numbers = [], []
     for mix, part in aims.groupby("mix_id", sort=True):
-        tokens = np.array([reached[mix, s].n_tokens if (mix, s) in reached else 0 for s in part["source"]])
-        blocks = -(-tokens // block_tokens)
-        shards = int(max(1, -(-tokens.sum() // shard_tokens)))
-        until = np.cumsum(split_tree(blocks, shards, rng), axis=0)
-        for i, s in enumerate(part["source"]):
-            since = np.concatenate(([0], until[:-1, i]))
-            cuts += [(mix, s, int(blocks[i]), k, int(a), int(b) - 1) for k, (a, b) in enumerate(zip(since, until[:, i])) if b > a]
-    spans = spark.createDataFrame(cuts, "mix_id string, source string, blocks long, shard int, first long, last long")
-    in_shard = spans.select("mix_id", "source", F.explode(F.sequence("first", "last")).alias("block"), "shard")
-    numbers = F.broadcast(spark.createDataFrame(sorted({c[:3] for c in cuts}), "mix_id string, source string, blocks long"))
-
+        held = [reached.get((mix, s)) for s in part["source"]]
+        tokens = [r.n_tokens if r else 0 for r in held]
+        blocks = [-(-n // block_tokens) for n in tokens]
+        shards = max(1, -(-sum(tokens) // shard_tokens))
+        roots.append((mix, part["source"].tolist(), shards, sum(blocks), 0, shards, blocks, [0] * len(blocks)))
+        numbers += [(mix, s, -(-r.n_uses // bucket_docs)) for s, r in zip(part["source"], held) if r]
+    tree = _descend(spark.createDataFrame(roots, _NODES), subtree, seed)
+    leaves = _descend(tree.repartition("mix_id", "lo"), 1, seed)
+    spans = leaves.select("mix_id", F.col("lo").cast("int").alias("shard"), F.explode(F.arrays_zip("sources", "counts", "first")).alias("x"))
+    spans = spans.where("x.counts > 0").select("mix_id", "shard", F.col("x.sources").alias("source"), F.explode(F.sequence(F.col("x.first"), F.col("x.first") + F.col("x.counts") - 1)).alias("block"))
+
+    # the blocks: ranges of the running sum over a second permutation, again by bucket and inside each
+    numbers = F.broadcast(spark.createDataFrame(numbers, "mix_id string, source string, buckets long"))  # one row a target
     each = used.join(numbers, ["mix_id", "source"]).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))))
-    spot = F.xxhash64(F.lit(seed + 1), "mix_id", "doc_id", "copy_no")
-    each = each.withColumn("spot", spot).withColumn("block", F.pmod(F.shiftrightunsigned("spot", 16), F.col("blocks")))
-    each = each.join(in_shard, ["mix_id", "source", "block"])
+    each = each.withColumn("spot", F.xxhash64(F.lit(seed + 1), "mix_id", "doc_id", "copy_no")).withColumn("bucket", F.pmod(F.shiftrightunsigned("spot", 16), F.col("buckets")))
+    sums = each.groupBy("mix_id", "source", "bucket").agg(F.sum("n_tokens").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    earlier = Window.partitionBy("mix_id", "source", "bucket").orderBy("spot", "doc_id", "copy_no").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.join(sums.drop("held"), ["mix_id", "source", "bucket"])
+    start = F.col("before") + F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0))
+    each = each.withColumn("block", F.floor(start / block_tokens).cast("long"))
+    each = each.join(spans, ["mix_id", "source", "block"])
     place = F.row_number().over(Window.partitionBy("mix_id", "shard").orderBy(F.xxhash64("spot", "shard"), "doc_id", "copy_no"))
     draw = each.select("mix_id", "shard", place.alias("position"), "doc_id", "source", "copy_no", "n_tokens")
 

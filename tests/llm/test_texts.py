@@ -164,15 +164,35 @@ def test_mixes(spark):
     assert not m.duplicated(["doc_id", "copy_no"]).any() and (m.groupby("doc_id").size() <= 4).all() and not m.doc_id.isin([2000, 2001, 2002]).any()
     sizes = m.groupby("shard").n_tokens.sum()
     assert len(sizes) > 3 and sizes.max() < 2.5 * sizes.mean()
+    # a shard's blocks are exact ranges of the running sum: sizes differ by a block and the documents at its ends
+    assert sizes.max() - sizes.min() < 3 * 200 + 8 * 40
+    few = mixing.mix_sources(spark.createDataFrame(docs, DOCS), spark.createDataFrame(aims, AIMS), block_tokens=200, shard_tokens=1500, bucket_docs=40, subtree=2).draw.toPandas()
+    assert set(map(tuple, few[["doc_id", "copy_no", "shard"]].values)) == set(map(tuple, draw[["doc_id", "copy_no", "shard"]].values))
     assert sorted(m[m.shard == 0].position) == list(range(1, int((m.shard == 0).sum()) + 1))
     assert abs(shares.loc["m"].actual_share.sum() - 1) < 1e-9 and len(draw[draw.mix_id == "z"]) == 0
     empty = mixing.mix_sources(spark.createDataFrame([], DOCS), spark.createDataFrame([], AIMS))
     assert empty.draw.count() == 0 and empty.shares.count() == 0
 
 
-def test_split_tree():
-    out = mixing.split_tree(np.array([17, 3, 0, 40]), 7, np.random.default_rng(0))
-    assert out.sum(0).tolist() == [17, 3, 0, 40] and out.sum(1).max() - out.sum(1).min() <= 1 and (out >= 0).all()
+def test_splitting_tree():
+    root = ("m", ["a", "b", "c", "d"], 7, 60, 0, 7, [17, 3, 0, 40], [0, 0, 0, 0])
+    leaves = list(mixing.descend(root, 1, 5))
+    assert [x[4:6] for x in leaves] == [(i, i + 1) for i in range(7)]
+    counts, first = np.array([x[6] for x in leaves]), np.array([x[7] for x in leaves])
+    assert counts.sum(0).tolist() == [17, 3, 0, 40] and np.ptp(counts.sum(1)) <= 1 and (counts >= 0).all()
+    assert (first == np.cumsum(counts, 0) - counts).all()
+    # the same leaves by way of subtrees
+    assert [y for x in mixing.descend(root, 3, 5) for y in mixing.descend(x, 1, 5)] == leaves
+
+
+def test_large_blocks():
+    """Block counts beyond 10**9, and the same law as the generator's where both can be used."""
+    big = [3 * 10**9, 10**9, 0, 7]
+    left = mixing.split_counts(big, 2 * 10**9, np.random.default_rng(1))
+    assert sum(left) == 2 * 10**9 and abs(left[0] - 1.5 * 10**9) < 10**6 and 0 <= left[3] <= 7
+    rng = np.random.default_rng(2)
+    x = np.array([mixing.hypergeometric(2 * 10**9, 30, 10**9, rng) for _ in range(4000)])
+    assert abs((10**9 - x).mean() - 30 * 10**9 / (2 * 10**9 + 30)) < 0.25
 
 
 # reading level
