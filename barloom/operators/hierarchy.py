@@ -1,13 +1,15 @@
 """Parent-child links to full hierarchies.
 
 Method: contract partition-local parent chains to fragment exits, solve the smaller
-quotient forest recursively, then expand.  Nodes are hashed into fragments of a bounded
-expected size.  Inside a fragment every node follows its parents by pointer doubling until
-it meets a root, a circle, or an *exit*: the first ancestor that lies in another fragment.
-Only nodes that are somebody's exit go on to the next level, where they are hashed anew;
-a level that shrinks too little is thinned by splicing out an independent set of inner
-nodes.  The last level fits one fragment and has no exits.  On the way back each level
-looks its exits up in the solution of the next.
+quotient forest recursively, then expand.  Fragments keep chains together: a hash makes
+every fourth node a ruler, each node looks for a ruler on its next four links, and the
+nodes below one ruler share a fragment (those of a hot ruler are spread).  Inside a
+fragment every node follows its parents by pointer doubling until it meets a root, a
+circle, or an *exit*: the first ancestor that lies in another fragment.  Only nodes that
+are somebody's exit go on to the next level, where they are laid out anew; a level that
+shrinks too little is thinned by splicing out an independent set of inner nodes.  The
+last level fits one fragment and has no exits.  On the way back each level looks its
+exits up in the solution of the next.
 """
 
 from __future__ import annotations
@@ -20,8 +22,11 @@ from pyspark.sql import functions as F
 from barloom.plans.skew import spread_lookup
 from barloom.plans.storage import write_table
 
-#: Expected rows of a fragment; a task holds one fragment at a time.
-ROWS_PER_FRAGMENT = 200_000
+#: Expected rows of a fragment (a task holds one at a time), and the fewest fragments of the first level.
+ROWS_PER_FRAGMENT = 20_000
+LEAST_FRAGMENTS = 8
+#: One node in so many is a ruler, sought by so many doublings (2 ** DOUBLINGS links).
+RULERS, DOUBLINGS = 4, 2
 #: A level that keeps more than this share of its rows is followed by splicing.
 THIN_ABOVE = 0.7
 
@@ -107,14 +112,29 @@ def _follow(pdf: pd.DataFrame, with_paths: bool) -> pd.DataFrame:
     return out
 
 
-def _contract(level: DataFrame, fragments: int, seed: int, with_paths: bool) -> DataFrame:
+def _fragments(level: DataFrame, fragments: int, seed: int, rows_per_fragment: int) -> DataFrame:
+    """``level`` with the fragment of each row; rows without a parent or at a ruler begin one."""
+    ruler = F.pmod(F.xxhash64("tree", "node", F.lit(seed)), F.lit(RULERS)) == 0
+    to = level.select("tree", "node", F.when(F.col("parent").isNull() | ruler, F.col("node")).otherwise(F.col("parent")).alias("to"))
+    for _ in range(DOUBLINGS):
+        onward = to.select("tree", F.col("node").alias("to"), F.col("to").alias("next"))
+        to = write_table(spread_lookup(to, onward, ["tree", "to"], F.col("node"), "left").select("tree", "node", F.coalesce("next", "to").alias("to")), "rulers")
+    most = max(1, rows_per_fragment // 4)
+    hot = to.groupBy("tree", "to").agg(F.count("*").alias("n")).where(F.col("n") > most).select("tree", "to", F.ceil(F.col("n") / most).alias("parts"))
+    to = spread_lookup(to, hot, ["tree", "to"], F.col("node"), "left")
+    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+    frag = F.pmod(F.xxhash64("tree", "to", part, F.lit(seed)), F.lit(fragments)).cast("int")
+    return level.join(to.select("tree", "node", frag.alias("frag")), ["tree", "node"])
+
+
+def _contract(level: DataFrame, fragments: int, seed: int, rows_per_fragment: int, with_paths: bool) -> DataFrame:
     schema = "tree string, node string, target string, hops long, low string, root string, root_hops long, seg array<string>, frag int"
 
     def fragment(key, pdf):
         return _follow(pdf, with_paths).assign(frag=key[0])
 
-    frag = F.pmod(F.xxhash64("tree", "node", F.lit(seed)), F.lit(fragments)).cast("int")
-    return level.withColumn("frag", frag).groupBy("frag").applyInPandas(fragment, schema)
+    laid = _fragments(level, fragments, seed, rows_per_fragment) if fragments > 1 else level.withColumn("frag", F.lit(0))
+    return laid.repartition(fragments, "frag").groupBy("frag").applyInPandas(fragment, schema)
 
 
 def _expand(waiting: DataFrame, solved: DataFrame) -> DataFrame:
@@ -128,7 +148,7 @@ def _expand(waiting: DataFrame, solved: DataFrame) -> DataFrame:
     )
 
 
-def hierarchy(links: DataFrame, *, with_paths: bool = True, rows_per_fragment: int = ROWS_PER_FRAGMENT) -> DataFrame:
+def hierarchy(links: DataFrame, *, with_paths: bool = True, rows_per_fragment: int = ROWS_PER_FRAGMENT, least_fragments: int = LEAST_FRAGMENTS) -> DataFrame:
     """Resolve links ``(tree, child, parent)`` to one row per node of each tree.
 
     Result: ``tree, node, parent, root, depth, path``.  ``depth`` is the number of links to the
@@ -152,8 +172,8 @@ def hierarchy(links: DataFrame, *, with_paths: bool = True, rows_per_fragment: i
     done: list[list[DataFrame]] = []
     seed = 0
     while True:
-        fragments = max(1, -(-rows // rows_per_fragment))
-        found = write_table(_contract(level, fragments, seed, with_paths), "contracted")
+        fragments = max(1 if seed else least_fragments, -(-rows // rows_per_fragment))
+        found = write_table(_contract(level, fragments, seed, rows_per_fragment, with_paths), "contracted")
         done.append([found.where("target is null").select("tree", "node", "root", "root_hops", "seg")])
         open_rows = found.where("target is not null")
         waiting.append(open_rows)
