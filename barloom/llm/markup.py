@@ -1,7 +1,7 @@
 """Markup residue: HTML, Markdown, wiki and LaTeX chapters to clean text that keeps its structure.
 
-Method: wrapper induction.  Every page becomes a DOM tree of blocks (headings, lists, tables,
-code, formulas, paragraphs).  Two aggregations count over all pages of a host how many hold a node
+Method: wrapper induction.  Every page becomes a DOM tree: HTML containers nest, and hold blocks
+(headings, lists, tables, code, formulas, paragraphs) of items and rows.  Two aggregations count over all pages of a host how many hold a node
 of that label and text; nodes that at least half of the pages hold are the host's template.  They
 are left out where simple tree matching aligns them with their like in a reference page; varying
 slots are content.  The reference pages of a host are two holders of each such node, so that every
@@ -13,6 +13,8 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from html.entities import html5
 
 import pyarrow as pa
@@ -37,13 +39,15 @@ _TAGS = frozenset(
     "rp rt ruby s samp script section select small source span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr "
     "track tt u ul var video wbr nowiki ref".split()
 )
-_BREAKS = frozenset("p div br tr table ul ol section article header footer main aside nav blockquote hr tbody thead dl dd dt figure form".split())
+_BREAKS = frozenset("p br tr table ul ol blockquote hr tbody thead dl dd dt".split())
+_CONTAINERS = frozenset("div section article header footer main aside nav figure form details fieldset dialog".split())
 #: LaTeX commands without an argument that count by themselves.
 _BARE_COMMANDS = frozenset("item maketitle tableofcontents newpage clearpage noindent centering LaTeX TeX ldots dots quad qquad hline par bfseries itshape smallskip medskip bigskip".split())
 
-_BASE = 0x100000  # the last private plane: stands for cut-out objects while lines are read
-_OWN_PLANE = re.compile("[\U00100000-\U0010fffd]")
-_START = re.compile(r"[<\\${`~\[]")
+# Three surrogates stand for a cut-out object while lines are read; no text from a table holds one.
+_SURROGATE = re.compile("[\ud800-\udfff]")
+_MARK = re.compile("[\ud800-\udbff][\udc00-\udfff]{2}")
+_START = re.compile(r"[<\\${}`~\[]")
 _FENCE = re.compile(r"(`{3,}|~{3,})([^`\n]*)(?:\n|\Z)")
 _SPAN = re.compile(r"(`+)(?!`)((?:(?!\n[ \t]*\n)[\s\S])+?)(?<!`)\1(?!`)")
 _COMMENT = re.compile(r"<!--[\s\S]*?(?:-->|\Z)")
@@ -80,32 +84,43 @@ _INLINE = re.compile(r"[*_~\[&']")
 class Page:
     """One item while it is read: its kinds, cut-out objects and blocks ``(label, text, children)``."""
 
-    __slots__ = ("kinds", "objects", "blocks")
+    __slots__ = ("kinds", "objects", "blocks", "stack")
 
     def __init__(self, text: str):
         self.kinds: set[str] = set()
         self.objects: list[tuple[str, str]] = []
         self.blocks: list[tuple] = []
+        self.stack: list[tuple[str, list]] = [("page", self.blocks)]  # open containers
         if "\r" in text:
             text = text.replace("\r\n", "\n").replace("\r", "\n")
         if not text.isascii():
-            text = _OWN_PLANE.sub("\ufffd", text)
+            text = _SURROGATE.sub("\ufffd", text)
         self._read(self._cut(text))
 
     def _object(self, kind: str, text: str) -> str:
+        i = len(self.objects)
         self.objects.append((kind, text))
-        return chr(_BASE + len(self.objects) - 1) if len(self.objects) < 0xFFFD else text
+        return chr(0xD800 + (i >> 20)) + chr(0xDC00 + (i >> 10 & 1023)) + chr(0xDC00 + (i & 1023))
+
+    def _at(self, mark: str) -> tuple[str, str]:
+        """The object that the first three characters stand for."""
+        return self.objects[(ord(mark[0]) - 0xD800 << 20) + (ord(mark[1]) - 0xDC00 << 10) + ord(mark[2]) - 0xDC00]
 
     # objects whose content is not read as markup, and tags and commands
 
     def _cut(self, text: str) -> str:
         out, at, kinds = [], 0, self.kinds
+        pairs: dict[int, int] | None = None  # of single braces, made when the first command asks
+        ends: dict[int, str] = {}  # closing braces of commands, and what stands for them
         for m in _START.finditer(text):
             pos = m.start()
             if pos < at:
                 continue
             c, got, end = text[pos], None, pos
-            if c == "`" or c == "~":
+            if c == "}":
+                if pos in ends:
+                    got, end = ends.pop(pos), pos + 1
+            elif c == "`" or c == "~":
                 line = text.rfind("\n", 0, pos) + 1
                 f = _FENCE.match(text, pos) if text[line:pos].strip(" \t>") == "" else None
                 if f:
@@ -145,7 +160,9 @@ class Page:
                             kinds.add("markdown")
                             got, end = x[1], x.end()
             elif c == "\\":
-                got, end = self._latex(text, pos)
+                if pairs is None and "{" in text:
+                    pairs = _brace_pairs(text)
+                got, end = self._latex(text, pos, pairs or {}, ends)
             elif c == "$":
                 x = _DOLLARS.match(text, pos)
                 if x:
@@ -198,9 +215,11 @@ class Page:
             return "" if closing else "\n" + self._object("item", "-")
         if tag in ("td", "th"):
             return "" if closing else self._object("cell", "")
+        if tag in _CONTAINERS:
+            return "\n" + self._object("close" if closing else "open", tag) + "\n"
         return "\n" if tag in _BREAKS else ""
 
-    def _latex(self, text: str, pos: int) -> tuple[str | None, int]:
+    def _latex(self, text: str, pos: int, pairs: dict[int, int], ends: dict[int, str]) -> tuple[str | None, int]:
         x = _ENV.match(text, pos)
         if x:
             self.kinds.add("latex")
@@ -228,17 +247,12 @@ class Page:
             return "", close + 1 if close >= 0 else end
         if not x[3]:
             return "", end
-        depth, i = 1, end
-        for b in re.compile(r"[{}]").finditer(text, end, end + 5000):
-            depth += 1 if b[0] == "{" else -1
-            if depth == 0:
-                i = b.end()
-                break
-        else:
+        close = pairs.get(end - 1)
+        if close is None:
             return "", end
-        inner = self._cut(text[end : i - 1])
         levels = {"part": "1", "chapter": "1", "section": "2", "subsection": "3", "subsubsection": "4", "paragraph": "5"}
-        return ("\n\n" + self._object("heading", levels[name]) + inner + "\n\n" if name in levels else inner), i
+        ends[close] = "\n\n" if name in levels else ""
+        return "\n\n" + self._object("heading", levels[name]) if name in levels else "", end
 
     # lines to blocks
 
@@ -255,7 +269,8 @@ class Page:
                 paragraph = []
                 continue
             if not _BLOCKY.match(line):
-                if "\U00100000" <= line.lstrip()[0] <= "\U0010fffd" and self.objects[ord(line.lstrip()[0]) - _BASE][0] in ("heading", "item", "code", "table", "display", "cell"):
+                head = line.lstrip()
+                if "\ud800" <= head[0] <= "\udbff" and self._at(head)[0] in _LINE_OBJECTS:
                     add("p", paragraph)
                     paragraph = []
                     self._object_line(line.strip())
@@ -274,13 +289,13 @@ class Page:
                     kinds.add("markdown")
                     add("p", paragraph)
                     paragraph = []
-                    self.blocks.append((f"h{len(m[1])}", self._inline(m[2]), ()))
+                    self._put((f"h{len(m[1])}", self._inline(m[2]), ()))
                     continue
             elif m := _WIKI_HEAD.match(line):
                 kinds.add("wiki")
                 add("p", paragraph)
                 paragraph = []
-                self.blocks.append((f"h{len(m[1])}", self._inline(m[2]), ()))
+                self._put((f"h{len(m[1])}", self._inline(m[2]), ()))
                 continue
             elif m := _LIST.match(line):
                 kinds.add("markdown")
@@ -294,7 +309,7 @@ class Page:
                 title = paragraph.pop()
                 add("p", paragraph)
                 paragraph = []
-                self.blocks.append(("h1" if m[1][0] == "=" else "h2", self._inline(title.strip()), ()))
+                self._put(("h1" if m[1][0] == "=" else "h2", self._inline(title.strip()), ()))
                 continue
             elif _DEFINITION.match(line):
                 kinds.add("markdown")
@@ -308,7 +323,7 @@ class Page:
                 while i < n and "|" in lines[i]:
                     rows.append(lines[i])
                     i += 1
-                self.blocks.append(("table", "", tuple(("tr", " | ".join(self._inline(c.strip()) for c in _split_row(r)), ()) for r in rows)))
+                self._put(("table", "", tuple(("tr", " | ".join(self._inline(c.strip()) for c in _split_row(r)), ()) for r in rows)))
                 continue
             if re.match(r" {0,3}(?:-[ \t]*){3,}$", line):  # a rule
                 add("p", paragraph)
@@ -321,29 +336,43 @@ class Page:
         if lines:
             text = self._inline("\n".join(lines)).strip()
             if text:
-                self.blocks.append((label, text, ()))
+                self._put((label, text, ()))
+
+    def _put(self, block: tuple) -> None:
+        self.stack[-1][1].append(block)
 
     def _list_item(self, mark: str, depth: int, text: str) -> None:
         node = ("li", self._inline(text.strip()), (mark, depth))
-        if self.blocks and self.blocks[-1][0] == "list":
-            self.blocks[-1][2].append(node)
+        here = self.stack[-1][1]
+        if here and here[-1][0] == "list":
+            here[-1][2].append(node)
         else:
-            self.blocks.append(("list", "", [node]))
+            here.append(("list", "", [node]))
 
     def _object_line(self, line: str) -> None:
-        kind, text = self.objects[ord(line[0]) - _BASE]
-        rest = line[1:]
+        kind, text = self._at(line)
+        rest = line[3:]
+        if kind == "open":
+            inner: list = []
+            self._put((text, "", inner))
+            self.stack.append((text, inner))
+            return
+        if kind == "close":
+            names = [x for x, _ in self.stack]
+            if text in names:  # what is still open inside ends here too
+                del self.stack[len(names) - 1 - names[::-1].index(text) :]
+            return
         if kind == "heading":
             title = self._inline(rest).strip()
             if title:
-                self.blocks.append((f"h{text}", title, ()))
+                self._put((f"h{text}", title, ()))
             return
         if kind == "item":
             self._list_item("-", 0, rest)
             return
         if kind == "cell":
             cells = [self._inline(c).strip() for c in self._by_cell(rest)]
-            self.blocks.append(("table", "", (("tr", " | ".join(cells), ()),)))
+            self._put(("table", "", (("tr", " | ".join(cells), ()),)))
             return
         if kind == "table":
             rows = []
@@ -357,20 +386,19 @@ class Page:
                         cells += re.split(r"\|\||!!", x[1:])
                 if cells:
                     rows.append(("tr", " | ".join(self._inline(c.strip()) for c in cells), ()))
-            self.blocks.append(("table", "", tuple(rows)))
+            self._put(("table", "", tuple(rows)))
         else:
-            self.blocks.append((kind, text, ()))
+            self._put((kind, text, ()))
         if rest.strip():
             self._add("p", [rest.strip()])
 
     def _by_cell(self, text: str) -> list[str]:
-        out = [""]
-        for c in text:
-            if "\U00100000" <= c <= "\U0010fffd" and self.objects[ord(c) - _BASE][0] == "cell":
-                out.append("")
-            else:
-                out[-1] += c
-        return out
+        out, at = [], 0
+        for m in _MARK.finditer(text):
+            if self._at(m[0])[0] == "cell":
+                out.append(text[at : m.start()])
+                at = m.end()
+        return [*out, text[at:]]
 
     def _inline(self, text: str) -> str:
         kinds = self.kinds
@@ -393,7 +421,7 @@ class Page:
             if "&" in text:
                 text = _REFERENCE.sub(self._reference, text)
         if not text.isascii():
-            text = _OWN_PLANE.sub(self._restore, text)
+            text = _MARK.sub(self._restore, text)
         return text
 
     def _reference(self, m: re.Match) -> str:
@@ -406,13 +434,24 @@ class Page:
         return html.unescape(m[0])
 
     def _restore(self, m: re.Match) -> str:
-        i = ord(m[0]) - _BASE
-        if i >= len(self.objects):
-            return ""
-        kind, text = self.objects[i]
+        kind, text = self._at(m[0])
         return {"math": f"${text}$", "display": f"$${text}$$", "span": f"`{text}`", "code": f"\n```\n{text}\n```\n", "cell": " | ", "item": "\n- "}.get(kind, "")
 
 
+_LINE_OBJECTS = frozenset(("heading", "item", "code", "table", "display", "cell", "open", "close"))
+
+
+def _brace_pairs(text: str) -> dict[int, int]:
+    """The closing brace of each opening one that has one."""
+    pairs, stack = {}, []
+    for m in re.finditer("[{}]", text):
+        if m[0] == "{":
+            stack.append(m.start())
+        elif stack:
+            pairs[stack.pop()] = m.start()
+    return pairs
+
+
 def _split_row(line: str) -> list[str]:
     line = line.strip()
     line = line[1:] if line.startswith("|") else line
@@ -428,7 +467,11 @@ def render(blocks: list[tuple]) -> str:
     """Clean text: headings with #, list items with their mark, code fenced, formulas in dollars, cells with a bar."""
     out = []
     for label, text, more in blocks:
-        if label[0] == "h" and len(label) == 2:
+        if label in _CONTAINERS:
+            inner = render(more)
+            if inner:
+                out.append(inner)
+        elif label[0] == "h" and len(label) == 2:
             out.append("#" * int(label[1]) + " " + text)
         elif label == "list":
             out.append("\n".join("  " * li[2][1] + li[2][0] + " " + li[1] for li in more))
@@ -447,35 +490,110 @@ def render(blocks: list[tuple]) -> str:
 
 
 def _tree(blocks) -> tuple:
-    return ("page", "", tuple((b[0], b[1], tuple((c[0], c[1], ()) for c in b[2])) for b in blocks))
+    """The page's DOM: nodes (label, text, children)."""
+    node = lambda b: (b[0], b[1], tuple(map(node, b[2])) if b[0] in _CONTAINERS else tuple((c[0], c[1], ()) for c in b[2]))
+    return ("page", "", tuple(map(node, blocks)))
+
+
+def _size(tree: tuple) -> int:
+    return 1 + sum(map(_size, tree[2]))
 
 
 def simple_tree_matching(a: tuple, b: tuple) -> tuple[int, list[tuple[tuple, tuple]]]:
-    """Size of the largest order-preserving match of two trees of equal root label, with its pairs of node paths."""
+    """Size of the largest order-preserving match of two trees of equal root label, with its pairs of node paths.
+
+    Equal texts weigh more than shape, so that a constant node is paired with its like.  Children
+    that are equal and occur once on either side are paired first where their order agrees; only
+    the stretches between such anchors are matched by dynamic programming.
+    """
     if a[0] != b[0]:
         return 0, []
-    n, m = len(a[2]), len(b[2])
+    if a == b:
+        return _size(a) + 3 * _texts(a), list(_same(a))
+    total, found = 1, []
+    for i0, i1, j0, j1 in _stretches(a[2], b[2]):
+        if (i1, j1) == (i0 + 1, j0 + 1):
+            w, pairs = simple_tree_matching(a[2][i0], b[2][j0])
+            cells = [(i0, j0, w + 3 * (w > 0 and a[2][i0][1] == b[2][j0][1] != ""), pairs)] if w else []
+        else:
+            cells = _align(a[2], b[2], i0, i1, j0, j1)
+        for i, j, w, pairs in cells:
+            total += w
+            found.append(((i,), (j,)))
+            found += [((i, *p), (j, *q)) for p, q in pairs]
+    return total, found
+
+
+def _texts(tree: tuple) -> int:
+    return sum((c[1] != "") + _texts(c) for c in tree[2])
+
+
+def _same(tree: tuple):
+    for i, c in enumerate(tree[2]):
+        yield (i,), (i,)
+        for p, q in _same(c):
+            yield (i, *p), (i, *q)
+
+
+def _stretches(a: tuple, b: tuple):
+    """Ranges (i0, i1, j0, j1) of children to be matched with each other; an anchor is a range of one."""
+    n, m = len(a), len(b)
+    lead = 0
+    while lead < min(n, m) and a[lead] == b[lead]:
+        yield lead, lead + 1, lead, lead + 1
+        lead += 1
+    tail = 0
+    while tail < min(n, m) - lead and a[n - 1 - tail] == b[m - 1 - tail]:
+        tail += 1
+    count_a, count_b = Counter(a[lead : n - tail]), Counter(b[lead : m - tail])
+    place = {y: j for j, y in enumerate(b[lead : m - tail], lead) if count_b[y] == 1}
+    pairs = [(i, place[x]) for i, x in enumerate(a[lead : n - tail], lead) if count_a[x] == 1 and x in place]
+    # the longest run of pairs that rises on both sides
+    tops, last, back = [], [], {}
+    for i, j in pairs:
+        k = bisect_left(tops, j)
+        back[i, j] = last[k - 1] if k else None
+        tops[k:k + 1], last[k:k + 1] = [j], [(i, j)]
+    chain, at = [], last[-1] if last else None
+    while at:
+        chain.append(at)
+        at = back[at]
+    i0, j0 = lead, lead
+    for i, j in [*reversed(chain), (n - tail, m - tail)]:
+        if i > i0 and j > j0:
+            yield i0, i, j0, j
+        if i < n - tail:
+            yield i, i + 1, j, j + 1
+        i0, j0 = i + 1, j + 1
+    for k in range(tail, 0, -1):
+        yield n - k, n - k + 1, m - k, m - k + 1
+
+
+def _align(a: tuple, b: tuple, i0: int, i1: int, j0: int, j1: int) -> list[tuple]:
+    """The heaviest order-preserving pairs (i, j, weight, pairs below) of two stretches of children."""
+    n, m = i1 - i0, j1 - j0
     best = [[0] * (m + 1) for _ in range(n + 1)]
     sub: dict[tuple[int, int], tuple[int, list]] = {}
     for i in range(1, n + 1):
+        x, row, above = a[i0 + i - 1], best[i], best[i - 1]
         for j in range(1, m + 1):
-            # equal texts weigh more than shape, so that a constant node is paired with its like
-            w, pairs = simple_tree_matching(a[2][i - 1], b[2][j - 1])
-            w += 3 * (w > 0 and a[2][i - 1][1] == b[2][j - 1][1] != "")
-            sub[i, j] = (w, pairs)
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w)
-    found, i, j = [], n, m
+            y, w = b[j0 + j - 1], 0
+            if x[0] == y[0]:
+                w, pairs = simple_tree_matching(x, y)
+                w += 3 * (x[1] == y[1] != "")
+                sub[i, j] = (w, pairs)
+            row[j] = max(above[j], row[j - 1], above[j - 1] + w)
+    out, i, j = [], n, m
     while i and j:
-        w, pairs = sub[i, j]
+        w, pairs = sub.get((i, j), (0, []))
         if w and best[i][j] == best[i - 1][j - 1] + w:
-            found.append(((i - 1,), (j - 1,)))
-            found += [((i - 1, *p), (j - 1, *q)) for p, q in pairs]
+            out.append((i0 + i - 1, j0 + j - 1, w, pairs))
             i, j = i - 1, j - 1
         elif best[i][j] == best[i - 1][j]:
             i -= 1
         else:
             j -= 1
-    return 1 + best[n][m], found
+    return out[::-1]
 
 
 def _node(tree: tuple, path: tuple) -> tuple:
@@ -485,7 +603,20 @@ def _node(tree: tuple, path: tuple) -> tuple:
 
 
 def texts_of(tree: tuple) -> set[tuple[str, str]]:
-    return {(b[0], b[1]) for b in tree[2] if b[1]} | {(c[0], c[1]) for b in tree[2] for c in b[2] if c[1]}
+    return {x for b in tree[2] for x in ({(b[0], b[1])} if b[1] else set()) | texts_of(b)}
+
+
+def _slots_out(tree: tuple, constant: set[tuple[str, str]], path: tuple = ()) -> tuple[tuple, dict]:
+    """The tree without the nodes that neither are constant nor hold a constant one: those are varying slots.  With the paths of what is kept."""
+    kept, where = [], {}
+    for i, c in enumerate(tree[2]):
+        sub, below = _slots_out(c, constant, (*path, i))
+        if sub[2] or c[:2] in constant:
+            k = len(kept)
+            kept.append(sub)
+            where[(k,)] = (*path, i)
+            where.update({(k, *q): w for q, w in below.items()})
+    return (tree[0], tree[1] if tree[:2] in constant else "", tuple(kept)), where
 
 
 def node_key(label: str, text: str) -> int:
@@ -498,25 +629,32 @@ def template_nodes(blocks: list[tuple], references: list[tuple], constant: set[t
     tree = _tree(blocks)
     mine = texts_of(tree) & constant
     out: set[tuple] = set()
+    if not mine:
+        return out
+    small, where = _slots_out(tree, mine)
     for ref, texts in references:
         if ref == tree or mine.isdisjoint(texts):  # a page doesn't vouch for itself
             continue
-        for p, q in simple_tree_matching(tree, ref)[1]:
-            x, y = _node(tree, p), _node(ref, q)
-            if x[1] == y[1] and x[:2] in mine:
-                out.add(p)
+        other, _ = _slots_out(ref, mine)
+        for p, q in simple_tree_matching(small, other)[1]:
+            x, y = _node(small, p), _node(other, q)
+            if x[1] and x[:2] == y[:2]:
+                out.add(where[p])
     return out
 
 
-def strip_template(blocks: list[tuple], constant: set[tuple]) -> list[tuple]:
+def strip_template(blocks: list[tuple], constant: set[tuple], at: tuple = ()) -> list[tuple]:
     if not constant:
         return blocks
     out = []
     for i, b in enumerate(blocks):
-        if (i,) in constant:
+        path = (*at, i)
+        if path in constant:
             continue
-        if b[2] and b[0] in ("list", "table"):
-            kept = [c for j, c in enumerate(b[2]) if (i, j) not in constant]
+        if b[0] in _CONTAINERS:
+            out.append((b[0], b[1], strip_template(b[2], constant, path)))
+        elif b[2] and b[0] in ("list", "table"):
+            kept = [c for j, c in enumerate(b[2]) if (*path, j) not in constant]
             if kept:
                 out.append((b[0], b[1], kept))
         else:

@@ -149,7 +149,7 @@ def _pages(spark, sf_dir):
 
 @register("p6_found")
 def p6_found(spark, sf_dir):
-    pages = markup.clean_markup(_pages(spark, sf_dir), ["item", "item_key"], "host", "content", with_text=False)
+    pages = markup.clean_markup(_pages(spark, sf_dir), ["item", "item_key"], "host", "content")
     return pages.select("item", "item_key", F.explode("markups").alias("markup")).distinct()
 
 

@@ -139,6 +139,49 @@ def test_sections_have_their_documents_source(spark, tmp_path):
     assert len(got) == 60 and got["s3#x"].clean == "Part 3." and got["s7#x"].clean == "Part 7.\n\nEnd 7."
 
 
+def test_no_size_limits_of_markup():
+    long = "word " * 3000
+    page = markup.Page(f"\\section{{{long}}} and \\textbf{{a {long}}} behind")
+    assert page.blocks[0] == ("h2", long.strip(), ()) and "}" not in markup.render(page.blocks)
+    many = " ".join(f"`x{i}`" for i in range(70_000))
+    page = markup.Page(many + "\n\n<b>b</b> `# no` \U00100000\U0010fffd")
+    assert page.kinds == {"markdown", "html"} and markup.render(page.blocks) == many + "\n\nb `# no` \U00100000\U0010fffd"
+    deep = markup.Page("\\emph{" * 5000 + "x" + "}" * 5000)
+    assert markup.render(deep.blocks) == "x" and deep.kinds == {"latex"}
+
+
+def test_containers_nest():
+    page = markup.Page("<div><nav>\n<ul><li>Home</li><li>Shop</li></ul></nav><p>Text</p></div>tail</section>")
+    assert page.blocks == [("div", "", [("nav", "", [("list", "", [("li", "Home", ("-", 0)), ("li", "Shop", ("-", 0))])]), ("p", "Text", ())]), ("p", "tail", ())]
+    assert markup.render(page.blocks) == "- Home\n- Shop\n\nText\n\ntail"
+
+
+def test_nested_template(spark):
+    page = lambda i: f"<div><nav>Home</nav><div>Story {i} is told.</div><footer>All rights reserved.</footer></div>"
+    rows = [(str(i), "h", page(i)) for i in range(6)]
+    got = markup.clean_markup(spark.createDataFrame(rows, "k string, host string, content string"), ["k"], "host", "content").collect()
+    assert all(r.n_template == 2 and r.clean == f"Story {r.k} is told." for r in got)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abcdef"), max_size=9), st.lists(st.sampled_from("abcdef"), max_size=9))
+def test_matching_is_a_common_order(xs, ys):
+    t = lambda v: ("page", "", tuple(("p", x, ()) for x in v))
+    pairs = sorted(markup.simple_tree_matching(t(xs), t(ys))[1])
+    assert all(p[0] < q[0] and a[0] < b[0] for (p, a), (q, b) in zip(pairs, pairs[1:]))
+    if len(set(xs)) == len(xs) and xs == ys:
+        assert len(pairs) == len(xs)
+
+
+def test_long_pages_are_matched_fast():
+    import time
+
+    t = lambda v: ("page", "", tuple(("p", x, ()) for x in v))
+    a, b = [f"same {i}" if i % 3 else f"a {i}" for i in range(6000)], [f"same {i}" if i % 3 else f"b {i}" for i in range(6000)]
+    began = time.time()
+    assert len(markup.simple_tree_matching(t(a), t(b))[1]) == 6000 and time.time() - began < 5
+
+
 def test_tree_matching():
     t = lambda *xs: ("page", "", tuple(("p", x, ()) for x in xs))
     size, pairs = markup.simple_tree_matching(t("a", "b", "c"), t("x", "a", "c"))
