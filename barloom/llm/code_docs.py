@@ -5,6 +5,10 @@ closing tokens (brackets; indents in Python) gives the depth of each; within one
 and closers alternate, so windows over (source, depth) match them and delimit functions.  Lag
 windows attach the comment or the string that documents a function.  All windows are partitioned
 by source in the partitioning that removed repeated sources: nothing is shuffled after that.
+
+The lexers emit what can delimit or name a function; runs of other tokens are one row.  Each language
+has its own plan, rows hold offsets instead of texts, and code and documentation are cut out of the
+source at the end, for the functions found.
 """
 
 from __future__ import annotations
@@ -36,6 +40,11 @@ _JS = re.compile(
     re.S,
 )
 _JS_REGEX = re.compile(r"/(?:[^/\\\[\r\n]|\\.|\[(?:[^\]\\\r\n]|\\.)*\])+/[a-z]*")
+_HEADS = frozenset(("def", "class", "async"))
+#: A JavaScript word is kept if it is one of these, follows one of _NAMED or comes before one of _NAMING; others only separate.
+_JS_HEADS = frozenset("function class const let var export default async static get set".split())
+_NAMED = frozenset("function class const let var async static get set".split())
+_NAMING = re.compile(r"(?:\s|/\*[\s\S]*?\*/|//[^\r\n]*)*(?:\(|=)")
 _BEFORE_REGEX = frozenset("return typeof case in of delete void throw new else do instanceof yield await".split())
 
 
@@ -55,8 +64,14 @@ def _literal(raw: str) -> str | None:
     return v if isinstance(v, str) else None
 
 
+@F.pandas_udf(T.StringType())
+def _docstring(raw: pd.Series) -> pd.Series:
+    """The value of neighbouring literals, with the comments and line ends between them."""
+    return pd.Series([None if r is None else _literal("(" + re.sub("\r\n?", "\n", r) + "\n)") for r in raw], dtype=object)
+
+
 def lex_python(src: str) -> list[tuple]:
-    """Tokens (pos, kind, text, start, end): words, brackets, colons, new lines, indents and dedents, strings; other runs as one x."""
+    """Tokens (pos, kind, text, start, end): header words and names, brackets, colons, new lines, indents and dedents, strings; other runs as one x."""
     out: list[tuple] = []
     stack, depth, fresh, n = [0], 0, True, 0
 
@@ -106,16 +121,15 @@ def lex_python(src: str) -> list[tuple]:
                     break
                 parts.append(nxt.group())
                 at = b = nxt.end()
-            value = None
-            if not out or out[-1][1] in ("nl", "indent", "dedent", "colon", "semi", "("):
-                values = [_literal(re.sub("\r\n?", "\n", p)) for p in parts]
-                value = None if None in values else "".join(values)
-            put("str" if value is not None else "x", value, a, b)
+            first = not out or out[-1][1] in ("nl", "indent", "dedent", "colon", "semi", "(")
+            plain = first and None not in [_literal(re.sub("\r\n?", "\n", p)) for p in parts]
+            if plain or not out or out[-1][1] != "x":
+                put("str" if plain else "x", None, a, b)
         elif kind == "lost":
             if m.group() in ('"""', "'''"):  # never closed: the rest is no code
                 at = end
             put("x", None, a, at)
-        elif kind == "word":
+        elif kind == "word" and (m.group() in _HEADS or out and out[-1][2] in ("def", "class")):
             put("word", m.group(), a, b)
         elif kind in ("colon", "semi"):
             put(kind, None, a, b)
@@ -191,11 +205,13 @@ def lex_javascript(src: str) -> list[tuple]:
             kind = "num"
         if kind not in ("doc", "note"):
             last_kind, last_text = kind, text or ""
+        if kind == "word" and not (text in _JS_HEADS or out and (out[-1][2] in _NAMED or out[-1][1] == "star") or _NAMING.match(src, at)):
+            kind = "x"
         if kind in ("x", "num", "str"):
             if out and out[-1][1] == "x":
                 continue
             kind, text = "x", None
-        elif kind not in ("word", "doc"):
+        elif kind != "word":
             text = None
         out.append((n, kind, text, a, at))
         n += 1
@@ -206,8 +222,13 @@ def lex_javascript(src: str) -> list[tuple]:
 
 
 @F.pandas_udf(_TOKENS)
-def _lex(source: pd.Series, lang: pd.Series) -> pd.Series:
-    return pd.Series([None if s is None else lex_javascript(s) if x == "javascript" else lex_python(s) for s, x in zip(source, lang)])
+def _lex_python(source: pd.Series) -> pd.Series:
+    return source.map(lex_python, na_action="ignore")
+
+
+@F.pandas_udf(_TOKENS)
+def _lex_javascript(source: pd.Series) -> pd.Series:
+    return source.map(lex_javascript, na_action="ignore")
 
 
 _OPEN, _CLOSE = ["(", "[", "{", "indent"], [")", "]", "}", "dedent"]
@@ -216,41 +237,94 @@ _NO_METHOD = "if for while switch catch with function return typeof new await yi
 _LINE_START = ["nl", "indent", "dedent"]
 
 
-def _functions(tokens: DataFrame) -> DataFrame:
-    """(id, pos, name, doc, has_doc, start, stop, qualified) of each function from token rows (id, lang, pos, kind, text, at, upto)."""
-    order = Window.partitionBy("id").orderBy("pos")
-    lag = lambda c, n=1: F.lag(c, n).over(order)
-    lead = lambda c, n=1: F.lead(c, n).over(order)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    js, py = F.col("lang") == "javascript", F.col("lang") != "javascript"
+def _order():
+    return Window.partitionBy("id").orderBy("pos")
+
+
+def _before():
+    return _order().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _upto():
+    return _order().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _ahead():
+    """The rows behind one on its own depth."""
+    return Window.partitionBy("id", "depth").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _lag(c, n=1) -> Column:
+    return F.lag(c, n).over(_order())
+
+
+def _lead(c, n=1) -> Column:
+    return F.lead(c, n).over(_order())
+
+
+def _depth() -> Column:
+    kind = F.col("kind")
+    return F.sum(F.when(kind.isin(_OPEN), 1).when(kind.isin(_CLOSE), -1).otherwise(0)).over(_upto()).cast("int").alias("depth")
+
+
+def _scope(name, what) -> Column:
+    return F.struct(name.alias("name"), what.alias("what"))
+
+
+def _python_functions(t: DataFrame) -> DataFrame:
+    """``id, pos, depth, made, scope`` of headers and blocks from tokens ``id, pos, kind, text, at, upto``."""
     kind, text = F.col("kind"), F.col("text")
+    ahead = [_lead("kind", i).alias(f"k{i}") for i in range(1, 7)] + [_lead(c, i).alias(f"{c}{i}") for c in ("at", "upto") for i in range(1, 5)]
+    t = t.select("*", _depth(), _lag("kind").alias("b1"), _lead("text").alias("t1"), _lead("text", 2).alias("t2"), *ahead)
+    # the header of the logical line, seen from its first token
+    line_start = ~kind.isin(_LINE_START) & (F.col("b1").isNull() | F.col("b1").isin(_LINE_START))
+    later = (text == "async") & (F.col("t1") == "def")
+    word = F.when(text.isin("def", "class"), text).when(later, F.col("t1")).otherwise("")
+    name = F.when(text.isin("def", "class"), F.col("t1")).when(later, F.col("t2"))
+    # the string behind a colon, on its line or first in the block below
+    deep = (F.col("k1") == "nl") & (F.col("k2") == "indent")
+
+    def docstring(first: int) -> Column:
+        ends = lambda i: F.coalesce(F.col(f"k{i}"), F.lit("nl")).isin("nl", "semi")
+        span = lambda i: F.struct(F.col(f"at{i}").alias("at"), F.col(f"upto{i}").alias("upto"))
+        bare, braced = F.col(f"k{first}") == "str", (F.col(f"k{first}") == "(") & (F.col(f"k{first + 1}") == "str") & (F.col(f"k{first + 2}") == ")")
+        return F.when(bare & ends(first + 1), span(first)).when(braced & ends(first + 3), span(first + 1))
+
+    body = F.when(kind == "colon", F.struct(F.when(deep, docstring(3)).otherwise(docstring(1)).alias("doc"), F.coalesce(deep, F.lit(False)).alias("deep")))
+    line = F.when(line_start, _scope(F.coalesce(name, F.lit("")), word))
+    t = t.select("id", "pos", "kind", "at", "upto", "depth", line.alias("line"), body.alias("body"))
+    t = t.select("*", F.when(kind == "indent", F.last("line", True).over(_before())).alias("scope"))
+    # the colon of a header, the dedent that ends its block and the end of its line are the next of their kind on its depth
+    t = t.select(
+        "id", "pos", "at", "depth", "line", "scope", F.last("body", True).over(_ahead()).alias("body"),
+        F.last(F.when(kind == "dedent", F.col("upto")), True).over(_ahead()).alias("block_end"), F.last(F.when(kind == "nl", F.col("upto")), True).over(_ahead()).alias("line_end"),
+    )
+    made = F.when((F.col("line.what") == "def") & (F.col("line.name") != ""), F.struct(
+        F.col("line.name").alias("name"), F.lit("def").alias("what"), F.col("body.doc").alias("doc"), F.col("at").alias("start"),
+        F.when(F.col("body.deep"), F.col("block_end")).otherwise(F.col("line_end")).alias("stop"), F.col("depth").alias("outer"),
+    ))
+    return t.select("id", "pos", "depth", made.alias("made"), "scope")
 
+
+def _javascript_functions(t: DataFrame) -> DataFrame:
+    """The same of JavaScript."""
+    kind, text = F.col("kind"), F.col("text")
     # a comment goes to the token behind it, then comments leave
-    t = tokens.withColumn("note", F.when(lag("kind") == "doc", F.struct(lag("text").alias("doc")))).where(~kind.isin("doc", "note"))
-    opens, closes = kind.isin(_OPEN), kind.isin(_CLOSE)
-    t = t.withColumn("depth", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(upto))
-    t = t.withColumn("level", F.when(opens, F.col("depth")).when(closes, F.col("depth") + 1))  # that of a bracket pair
-    modifier = text.isin(_MODIFIERS) | (kind == "star")
-    t = t.withColumn("k1", lag("kind")).withColumn("t1", lag("text")).withColumn("mod", modifier)
+    doc = F.when(_lag("kind") == "doc", F.struct(_lag("at").alias("at"), _lag("upto").alias("upto")))
+    t = t.select("*", doc.alias("note")).where(~kind.isin("doc", "note"))
+    before = [_lag("kind", i).alias(f"k{i}") for i in range(1, 6)] + [_lag("text", i).alias(f"x{i}") for i in range(1, 6)]
+    modifier = F.coalesce(text.isin(_MODIFIERS), F.lit(False)) | (kind == "star")
+    t = t.select("*", _depth(), *before, modifier.alias("mod"), _lead("kind").alias("next"), _lead("text").alias("next_text"))
     # documentation before a run of modifiers counts for what they modify
-    run_start = ~F.coalesce(lag("mod"), F.lit(False))
-    t = t.withColumn("run", F.last(F.when(run_start, F.struct(F.col("note.doc").alias("doc"), F.col("at").alias("at"))), True).over(upto))
-
-    # Python: the header of the logical line, seen from its first token
-    line_start = py & ~kind.isin(_LINE_START) & (F.col("k1").isNull() | F.col("k1").isin(_LINE_START))
-    header_word = F.when(text.isin("def", "class"), text).when((text == "async") & (lead("text") == "def"), F.lit("def"))
-    header_name = F.when(text.isin("def", "class"), lead("text")).when((text == "async") & (lead("text") == "def"), lead("text", 2))
-    t = t.withColumn("line", F.when(line_start, F.struct(F.coalesce(header_word, F.lit("")).alias("word"), F.coalesce(header_name, F.lit("")).alias("name"))))
-    t = t.withColumn("last_line", F.last("line", True).over(before))
-
-    # JavaScript: what a parameter list or a block belongs to
-    k = {i: lag("kind", i) for i in range(1, 6)}
-    x = {i: lag("text", i) for i in range(1, 6)}
-    r = {i: lag("run", i) for i in range(0, 6)}
+    run_start = ~F.coalesce((F.col("k1") == "star") | F.col("x1").isin(_MODIFIERS), F.lit(False))
+    class_mark = F.when((text == "class") & (F.col("next") == "word"), F.col("next_text")).when(kind.isin("{", "}", "semi"), F.lit(""))
+    t = t.select("*", F.last(F.when(run_start, F.struct(F.col("note").alias("doc"), F.col("at").alias("at"))), True).over(_upto()).alias("run"), class_mark.alias("class_mark"))
+    t = t.select("*", *[_lag("run", i).alias(f"r{i}") for i in range(1, 6)], F.when(kind == "{", F.last("class_mark", True).over(_before())).alias("class_name"))
+    # what a parameter list or a bare arrow belongs to
+    k, x, r = ({i: F.col(f"{c}{i}") for i in range(1, 6)} for c in "kxr")
     is_const = lambda c: c.isin("const", "let", "var")
     candidate = lambda name, what, run: F.struct(name.alias("name"), F.lit(what).alias("what"), run["doc"].alias("doc"), run["at"].alias("at"))
-    params = F.when(js & (kind == "("), F.coalesce(
+    params = F.when(kind == "(", F.coalesce(
         F.when((k[1] == "word") & (x[2] == "function"), candidate(x[1], "function", r[2])),
         F.when((k[1] == "word") & (k[2] == "star") & (x[3] == "function"), candidate(x[1], "function", r[3])),
         F.when((k[1] == "eq") & (k[2] == "word") & is_const(x[3]), candidate(x[2], "arrow", r[3])),
@@ -260,74 +334,48 @@ def _functions(tokens: DataFrame) -> DataFrame:
         F.when((k[1] == "word") & ~x[1].isin(_NO_METHOD) & (k[2].isin("{", "}", "semi", "star") | x[2].isin("static", "async", "get", "set")), candidate(x[1], "method", r[1])),
     ))
     bare = F.when(
-        js & (kind == "arrow"),
+        kind == "arrow",
         F.when((k[1] == "word") & (k[2] == "eq") & (k[3] == "word") & is_const(x[4]), candidate(x[3], "arrow", r[4])).when(
             (k[1] == "word") & (x[2] == "async") & (k[3] == "eq") & (k[4] == "word") & is_const(x[5]), candidate(x[4], "arrow", r[5])
         ),
     )
-    class_mark = F.when(js & (text == "class") & (lead("kind") == "word"), lead("text")).when(kind.isin("{", "}", "semi"), F.lit(""))
-    t = t.withColumn("params", params).withColumn("bare", bare).withColumn("class_mark", class_mark)
-    t = t.withColumn("class_name", F.when(js & (kind == "{"), F.last("class_mark", True).over(before)))
+    opens = kind.isin(_OPEN)
+    level = F.when(opens, F.col("depth")).when(kind.isin(_CLOSE), F.col("depth") + 1)  # that of a bracket pair
+    t = t.select("id", "pos", "kind", "at", "upto", "depth", "k1", "next", "class_name", level.alias("level"), F.coalesce(params, bare).alias("head"))
     # a pair of brackets alternates on its level: the closer takes over what the opener knows, the opener learns the end
     pair = Window.partitionBy("id", "level").orderBy("pos")
-    t = t.withColumn("closed_params", F.when(kind == ")", F.lag("params").over(pair))).withColumn("match_end", F.when(opens, F.lead("upto").over(pair)))
-    arrow = F.when((kind == "arrow") & js, F.coalesce("bare", F.when((lag("closed_params")["what"] == "arrow"), lag("closed_params"))))
-    t = t.withColumn("arrow", arrow)
-    block = F.when(js & (kind == "{"), F.when(F.col("k1") == ")", F.when(lag("closed_params")["what"] != "arrow", lag("closed_params"))))
-    t = t.withColumn("block", block).withColumn("arrow_block", F.when(js & (kind == "{"), lag("arrow")))
-    scope = F.when(kind == "indent", F.struct(F.col("last_line.name").alias("name"), F.col("last_line.word").alias("what"))).when(
-        kind == "{",
-        F.struct(
-            F.coalesce(F.col("block.name"), F.col("arrow_block.name"), F.col("class_name"), F.lit("")).alias("name"),
-            F.when(F.col("block.name").isNull() & F.col("arrow_block.name").isNull() & (F.col("class_name") != ""), "class").otherwise("").alias("what"),
-        ),
-    ).when(opens, F.struct(F.lit("").alias("name"), F.lit("").alias("what")))
-    t = t.withColumn("scope", scope)
-
-    # Python: the string behind the header's colon
-    kk = {i: lead("kind", i) for i in range(1, 7)}
-    deep = (kk[1] == "nl") & (kk[2] == "indent")
-
-    def docstring(first: int) -> Column:
-        ends = lambda i: F.coalesce(kk[i], F.lit("nl")).isin("nl", "semi")
-        return F.when((kk[first] == "str") & ends(first + 1), F.struct(lead("text", first).alias("doc"))).when(
-            (kk[first] == "(") & (kk[first + 1] == "str") & (kk[first + 2] == ")") & ends(first + 3), F.struct(lead("text", first + 1).alias("doc"))
-        )
-
-    nl_end = F.last(F.when(kind == "nl", F.col("upto")), True)
-    back = Window.partitionBy("id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    body = F.when(py & (kind == "colon"), F.struct(F.when(deep, docstring(3)).otherwise(docstring(1)).alias("doc"), F.when(deep, lead("match_end", 2)).alias("stop")))
-    t = t.withColumn("body", body)
-    t = t.withColumn("line_end", F.when(py, nl_end.over(back)))
-    same_depth = Window.partitionBy("id", "depth").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("body_ahead", F.last("body", True).over(same_depth)).withColumn("semi_ahead", F.last(F.when(kind == "semi", F.col("upto")), True).over(same_depth))
-
-    python_def = py & (F.col("line.word") == "def") & (F.col("line.name") != "")
-    made = F.when(python_def, F.struct(
-        F.col("line.name").alias("name"), F.lit("def").alias("what"), F.col("body_ahead.doc.doc").alias("doc"), F.col("body_ahead.doc").isNotNull().alias("has_doc"),
-        F.col("at").alias("start"), F.coalesce(F.col("body_ahead.stop"), F.col("line_end")).alias("stop"), F.col("depth").alias("outer"),
-    )).when(F.col("block").isNotNull(), F.struct(
-        F.col("block.name").alias("name"), F.col("block.what").alias("what"), F.col("block.doc").alias("doc"), F.col("block.doc").isNotNull().alias("has_doc"),
-        F.col("block.at").alias("start"), F.col("match_end").alias("stop"), (F.col("depth") - 1).alias("outer"),
-    )).when(F.col("arrow").isNotNull(), F.struct(
-        F.col("arrow.name").alias("name"), F.col("arrow.what").alias("what"), F.col("arrow.doc").alias("doc"), F.col("arrow.doc").isNotNull().alias("has_doc"),
-        F.col("arrow.at").alias("start"), F.when(lead("kind") == "{", lead("match_end")).otherwise(F.coalesce("semi_ahead", "upto")).alias("stop"), F.col("depth").alias("outer"),
-    ))
-    t = t.withColumn("made", made)
-
-    # each function asks every level around it for the scope that is open there
-    asks = F.when(F.col("made").isNotNull() & (F.col("made.outer") > 0), F.transform(F.sequence(F.lit(1), F.col("made.outer").cast("int")), lambda j: F.struct(j.alias("level"), F.lit(None).cast("struct<name:string,what:string>").alias("scope"), F.lit(True).alias("ask"))))
-    own = F.when(F.col("scope").isNotNull(), F.array(F.struct(F.col("depth").cast("int").alias("level"), F.col("scope"), F.lit(False).alias("ask"))))
-    alone = F.when(F.col("made").isNotNull() & (F.col("made.outer") <= 0), F.array(F.struct(F.lit(0).alias("level"), F.lit(None).cast("struct<name:string,what:string>").alias("scope"), F.lit(True).alias("ask"))))
+    t = t.select("*", F.when(kind == ")", F.lag("head").over(pair)).alias("closed"), F.when(opens, F.lead("upto").over(pair)).alias("match_end"))
+    t = t.select("*", _lag("closed").alias("list"), _lead("match_end").alias("next_end"))
+    arrow = F.when(kind == "arrow", F.coalesce("head", F.when(F.col("list.what") == "arrow", F.col("list"))))
+    block = F.when((kind == "{") & (F.col("k1") == ")") & (F.col("list.what") != "arrow"), F.col("list"))
+    t = t.select("*", arrow.alias("arrow"), block.alias("block"))
+    name = F.coalesce(F.col("block.name"), F.when(kind == "{", _lag("arrow")["name"]))
+    is_class = name.isNull() & (F.col("class_name") != "")
+    scope = F.when(kind == "{", _scope(F.coalesce(name, F.col("class_name"), F.lit("")), F.when(is_class, "class").otherwise(""))).when(opens, _scope(F.lit(""), F.lit("")))
+    t = t.select("id", "pos", "kind", "upto", "depth", "next", "match_end", "next_end", "arrow", "block", scope.alias("scope"))
+    t = t.select("*", F.last(F.when(kind == "semi", F.col("upto")), True).over(_ahead()).alias("semi"))
+    function = lambda head, stop, outer: F.struct(F.col(f"{head}.name"), F.col(f"{head}.what"), F.col(f"{head}.doc"), F.col(f"{head}.at").alias("start"), stop.alias("stop"), outer.alias("outer"))
+    ends = F.when(F.col("next") == "{", F.col("next_end")).otherwise(F.coalesce("semi", "upto"))
+    made = F.when(F.col("block").isNotNull(), function("block", F.col("match_end"), F.col("depth") - 1)).when(F.col("arrow").isNotNull(), function("arrow", ends, F.col("depth")))
+    return t.select("id", "pos", "depth", made.alias("made"), "scope")
+
+
+def _qualified(t: DataFrame) -> DataFrame:
+    """``id, name, doc, start, stop, qualified`` of each function: it asks every level around it for the scope that is open there."""
+    t = t.where("made is not null or scope is not null")
+    no_scope = F.lit(None).cast("struct<name:string,what:string>")
+    entry = lambda level, scope, ask: F.struct(level.cast("int").alias("level"), scope.alias("scope"), F.lit(ask).alias("ask"))
+    asks = F.when(F.col("made.outer") > 0, F.transform(F.sequence(F.lit(1), F.col("made.outer")), lambda j: entry(j, no_scope, True))).when(F.col("made").isNotNull(), F.array(entry(F.lit(0), no_scope, True)))
+    own = F.when(F.col("scope").isNotNull(), F.array(entry(F.col("depth"), F.col("scope"), False)))
     none = F.array().cast("array<struct<level:int,scope:struct<name:string,what:string>,ask:boolean>>")
-    e = t.where("made is not null or scope is not null").select("id", "pos", "made", F.explode(F.concat(F.coalesce(asks, alone, none), F.coalesce(own, none))).alias("e"))
+    e = t.select("id", "pos", "made", F.explode(F.concat(F.coalesce(asks, none), F.coalesce(own, none))).alias("e"))
     around = F.last("e.scope", True).over(Window.partitionBy("id", "e.level").orderBy("pos", F.desc("e.ask")).rowsBetween(Window.unboundedPreceding, -1))
-    e = e.withColumn("around", around).where("e.ask")
+    e = e.select("*", around.alias("around")).where("e.ask")
     chain = e.groupBy("id", "pos").agg(F.first("made").alias("made"), F.array_sort(F.collect_list(F.struct("e.level", "around"))).alias("chain"))
     inner = F.element_at("chain", -1)["around"]["what"]
     names = F.filter(F.transform("chain", lambda c: c["around"]["name"]), lambda n: n != "")
     kept = chain.where((F.col("made.what") != "method") | (inner == "class"))
-    return kept.select("id", "pos", "made.*", F.array_join(F.concat(names, F.array("made.name")), ".").alias("qualified"))
+    return kept.select("id", "made.name", "made.doc", "made.start", "made.stop", F.array_join(F.concat(names, F.array("made.name")), ".").alias("qualified"))
 
 
 def description(doc: Column) -> Column:
@@ -359,17 +407,15 @@ def function_docs(nodes: DataFrame, *, with_code: bool = False) -> DataFrame:
         "id", "primitive", "summary", F.col("props")["source_text"].alias("source"), F.coalesce(F.col("props")["lang"], F.lit("python")).alias("lang")
     )
     own = own.where("source != ''").groupBy("id").agg(F.min(F.struct("source", "lang", "primitive", "summary")).alias("n")).select("id", "n.*")
-    tokens = own.select("id", "lang", F.explode(_lex("source", "lang")).alias("t")).select("id", "lang", "t.*")
-    found = _functions(tokens)
-    found = found.withColumn("n_functions", F.count("*").over(Window.partitionBy("id")))
-    about = own.select("id", "lang", "primitive", "summary", *(["source"] if with_code else []))
-    found = found.join(about, "id")
-    star = F.regexp_replace(F.regexp_replace("doc", r"^/\*+|\*+/$", ""), r"(?m)^[ \t]*\*+", "")
-    doc = F.when(F.col("lang") == "javascript", star).otherwise(F.col("doc"))
-    alone = (F.col("primitive") == "Procedure") & (F.col("n_functions") == 1) & ~F.col("has_doc")
-    found = found.withColumn("description", description(F.when(alone, F.col("summary")).otherwise(doc)))
-    out = ["id as node_id", "qualified as func_name", "description"]
-    if with_code:
-        found = found.withColumn("code", F.expr("substring(source, start + 1, stop - start)"))
-        out.append("code")
+    js = F.col("lang") == "javascript"
+    lexed = lambda which, lex: own.where(which).select("id", F.explode(lex("source")).alias("t")).select("id", "t.*")
+    found = _qualified(_python_functions(lexed(~js, _lex_python)).union(_javascript_functions(lexed(js, _lex_javascript))))
+    found = found.withColumn("n_functions", F.count("*").over(Window.partitionBy("id"))).join(own, "id")
+    cut = lambda start, stop: F.substring("source", start + 1, stop - start)
+    raw = cut(F.col("doc.at"), F.col("doc.upto"))
+    star = F.regexp_replace(F.regexp_replace(raw, r"^/\*+|\*+/$", ""), r"(?m)^[ \t]*\*+", "")
+    doc = F.when(js, star).otherwise(_docstring(F.when(~js, raw)))
+    alone = (F.col("primitive") == "Procedure") & (F.col("n_functions") == 1) & F.col("doc").isNull()
+    found = found.select("id", "name", "qualified", description(F.when(alone, F.col("summary")).otherwise(doc)).alias("description"), *([cut(F.col("start"), F.col("stop")).alias("code")] if with_code else []))
+    out = ["id as node_id", "qualified as func_name", "description", *(["code"] if with_code else [])]
     return found.where(worthwhile(F.col("description"), F.col("name"))).selectExpr(*out).distinct()

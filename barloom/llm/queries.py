@@ -65,7 +65,8 @@ def p1_copies(spark, sf_dir):
 
 @register("p2_found")
 def p2_found(spark, sf_dir):
-    return code_docs.function_docs(table(spark, sf_dir, "nodes")).select("node_id", "func_name").distinct()
+    pairs = code_docs.function_docs(table(spark, sf_dir, "nodes"), with_code=True)
+    return pairs.where("code != ''").select("node_id", "func_name").distinct()
 
 
 @register("p2_pairs")
