@@ -1,7 +1,8 @@
 """Most similar vectors for every vector: balanced posting lists.
 
-Method: a bounded sample gives centroids by balanced hierarchical clustering; they form an
-in-memory graph that every task searches.  Each vector is posted to its nearest lists, boundary
+Method: a bounded sample of each group gives its centroids by balanced hierarchical clustering;
+they form a graph that a task searches in memory.  Graphs are rows, one a group, which meet the
+vectors of their group in a cogroup; a large group is spread over many tasks.  Each vector is posted to its nearest lists, boundary
 vectors to several; as a query it visits the lists whose centroid is not much farther than its
 nearest one (distance-ratio pruning).  Posting lists are scanned with blocked matrix products;
 a list that is larger than a block is spread over a grid of blocks, so none is dropped or capped.
@@ -10,6 +11,7 @@ Exact copies of a direction are one vector for the search and are expanded at th
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,11 +23,14 @@ from pyspark.sql import functions as F
 from barloom.plans.skew import spread_lookup
 from barloom.plans.storage import write_table
 
-#: Vectors the centroids are fitted on, over all groups; every vector is indexed.
-SAMPLE_MAX = 60_000
-#: Vectors for a posting list to hold before replication, and the most centroids of a group (their graph is broadcast).
+#: Vectors for a posting list to hold before replication, and the most centroids of a group (its graph has to fit a task).
 LIST_SIZE = 256
-MAX_CENTROIDS = 32_768
+MAX_CENTROIDS = 65_536
+#: The centroids of a group are fitted on a sample of at most so many vectors, and of so many a centroid; every vector is indexed.
+SAMPLE_MAX = 400_000
+SAMPLE_A_CENTROID = 80
+#: Vectors of a group that a task assigns to lists at a time.
+ASSIGN_ROWS = 40_000
 #: Members and queries of one block of a list.
 BLOCK_ROWS = 16_384
 GRAPH_DEGREE = 24
@@ -182,50 +187,50 @@ def _matrix(raw, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim)
 
 
-def _fit(reps: DataFrame, dim: int, sample_max: int, list_size: int) -> dict[str, CentroidGraph]:
-    sizes = {r.grp: r.n for r in reps.groupBy("grp").agg(F.count("*").alias("n")).collect()}
-    total = sum(sizes.values())
-    if not total:
-        return {}
-    # a hash sample; each group gets its share, and small groups are taken whole
-    keep = min(1.0, sample_max / total)
-    rate = F.coalesce(*[F.when(F.col("grp") == g, F.lit(int(min(1.0, max(keep, 2000 / n)) * 1_000_000))) for g, n in sizes.items()])
-    sample = reps.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < rate).select("grp", "unit").toPandas()
-    graphs = {}
-    for g, n in sizes.items():
-        x = _matrix(sample.loc[sample["grp"] == g, "unit"], dim)
-        if not len(x):  # a tiny group may miss the sample
-            x = _matrix([r.unit for r in reps.where(F.col("grp") == g).limit(100).collect()], dim)
-        graphs[g] = CentroidGraph(x, min(MAX_CENTROIDS, -(-n // list_size)))
-    return graphs
-
-
-def _assign(reps: DataFrame, shared, dim: int, probing: Probing) -> DataFrame:
-    """Adds ``lists`` (visited, nearest first) and ``posts`` (how many of them the vector is a member of)."""
-
-    def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                b = whole.slice(at, 2048)
-                grp = np.array(b.column(0).to_pylist(), object)
-                asks = np.array(b.column(3).to_pylist(), bool)
-                x = _matrix(b.column(2).to_pylist(), dim)
-                lists: list = [None] * len(x)
-                posts = np.zeros(len(x), np.int32)
-                for g in set(grp):
-                    for asking in (True, False):  # only queries visit more lists than they are posted to
-                        rows = np.flatnonzero((grp == g) & (asks == asking))
-                        if not len(rows):
-                            continue
-                        ids, sims = shared.value[g].search(x[rows], max(probing.visit_lists, probing.post_lists) if asking else probing.post_lists)
-                        post = _within(sims, probing.post_ratio, probing.post_lists)
-                        both = post | _within(sims, probing.visit_ratio, probing.visit_lists) if asking else post
-                        for r, i, v, p in zip(rows, ids, both, post):
-                            lists[r] = i[v].tolist()
-                            posts[r] = int(p.sum())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, pa.list_(pa.int32())), pa.array(posts)], ["grp", "id", "unit", "is_query", "lists", "posts"])
-
-    return reps.select("grp", "id", "unit", "is_query").mapInArrow(run, "grp string, id long, unit binary, is_query boolean, lists array<int>, posts int")
+def _posted(reps: DataFrame, dim: int, probing: Probing, sample_max: int, list_size: int) -> DataFrame:
+    """Rows of ``reps`` with ``lists`` (visited, nearest first) and ``posts`` (of how many of them the vector is a member)."""
+    n = F.col("n")
+    lists = F.least(F.ceil(n / list_size), F.lit(MAX_CENTROIDS))
+    wanted = F.least(F.lit(sample_max), F.greatest(lists * SAMPLE_A_CENTROID, F.lit(2_000)))
+    sizes = reps.groupBy("grp").agg(F.count("*").alias("n")).select("grp", lists.cast("int").alias("n_lists"), (wanted / n * 2**31).cast("long").alias("rate"), F.ceil(n / ASSIGN_ROWS).cast("int").alias("parts"))
+    sizes = write_table(sizes, "sizes")
+    known = spread_lookup(reps, sizes, ["grp"], F.col("id"))
+
+    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        graph = CentroidGraph(_matrix(pdf["unit"], dim), int(pdf["n_lists"].iloc[0]))
+        return pd.DataFrame({"grp": [key[0]], "graph": [pickle.dumps(graph, protocol=5)]})
+
+    # a hash sample; the least hash of a group is in it even if chance passes a small group by
+    hashed = known.withColumn("h", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(2**31)))
+    drawn = hashed.where(F.col("h") < F.col("rate")).select("grp", "unit", "n_lists")
+    missed = sizes.join(drawn.select("grp").distinct(), "grp", "left_anti").select("grp")
+    least = hashed.join(missed, "grp", "left_semi").groupBy("grp").agg(F.min_by(F.struct("unit", "n_lists"), "h").alias("x")).select("grp", "x.*")
+    graphs = write_table(drawn.union(least).groupBy("grp").applyInPandas(fit, "grp string, graph binary"), "graphs")
+
+    def assign(vectors: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
+        if not len(vectors):
+            return pd.DataFrame({"grp": [], "id": [], "unit": [], "is_query": [], "lists": [], "posts": []})
+        search = pickle.loads(graph["graph"].iloc[0]).search
+        asks = vectors["is_query"].to_numpy(bool)
+        x = _matrix(vectors["unit"], dim)
+        lists: list = [None] * len(x)
+        posts = np.zeros(len(x), np.int32)
+        for asking in (True, False):  # only queries visit more lists than they are posted to
+            mine = np.flatnonzero(asks == asking)
+            for at in range(0, len(mine), 2048):
+                rows = mine[at : at + 2048]
+                ids, sims = search(x[rows], max(probing.visit_lists, probing.post_lists) if asking else probing.post_lists)
+                post = _within(sims, probing.post_ratio, probing.post_lists)
+                both = post | _within(sims, probing.visit_ratio, probing.visit_lists) if asking else post
+                posts[rows] = post.sum(1)
+                for r, i, v in zip(rows, ids, both):
+                    lists[r] = i[v]
+        return vectors[["grp", "id", "unit", "is_query"]].assign(lists=lists, posts=posts)
+
+    part = F.pmod(F.xxhash64("id", F.lit(9)), F.col("parts")).cast("int")
+    split = known.select("grp", part.alias("part"), "id", "unit", "is_query").groupBy("grp", "part")
+    copies_of = graphs.join(sizes, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "graph")
+    return split.cogroup(copies_of.groupBy("grp", "part")).applyInPandas(assign, "grp string, id long, unit binary, is_query boolean, lists array<int>, posts int")
 
 
 def _scan(dim: int, k: int, least: float | None):
@@ -266,8 +271,7 @@ def _blocks(assigned: DataFrame, block_rows: int) -> DataFrame:
     grid = sizes.where((F.col("n_m") > block_rows) | (F.col("n_q") > block_rows)).select(
         "grp", "list", F.ceil(F.greatest(F.col("n_m"), F.lit(1)) / block_rows).cast("int").alias("mb"), F.ceil(F.greatest(F.col("n_q"), F.lit(1)) / block_rows).cast("int").alias("qb")
     )
-    # at most MAX_CENTROIDS rows of four numbers a group
-    rows = assigned.select("grp", "id", "unit", "is_query", F.posexplode("lists").alias("pos", "list"), "posts").join(F.broadcast(grid), ["grp", "list"], "left")
+    rows = spread_lookup(assigned.select("grp", "id", "unit", "is_query", F.posexplode("lists").alias("pos", "list"), "posts"), grid, ["grp", "list"], F.col("id"), "left")
     mb, qb = F.coalesce("mb", F.lit(1)), F.coalesce("qb", F.lit(1))
     own_m, own_q = F.pmod(F.xxhash64("id"), mb), F.pmod(F.xxhash64("id", F.lit(1)), qb)
     member = is_member
@@ -299,19 +303,14 @@ def similar_vectors(
     direction = write_table(unit_vectors(vectors, id_col, vec_col, group_col, dim), "units").withColumn("dir", F.md5("unit"))
     reps = direction.withColumn("wanted", is_query).groupBy("grp", "dir").agg(F.min("id").alias("id"), F.first("unit").alias("unit"), F.max("wanted").alias("is_query"), F.max("id").alias("hi"))
     reps = write_table(reps, "reps")
-    graphs = _fit(reps, dim, sample_max, list_size)
-    spark = vectors.sparkSession
-    if not graphs:
-        links = spark.createDataFrame([], "grp string, q long, m long, sim float")
-    else:
-        assigned = write_table(_assign(reps, spark.sparkContext.broadcast(graphs), dim, probing), "posted")
-        found = _blocks(assigned, block_rows).groupBy("grp", "list", "block").applyInPandas(
-            lambda key, pdf: _scan(dim, k, min_similarity)(pdf).assign(grp=key[0]), "grp string, q long, m long, sim float"
-        )
-        links = found.groupBy("grp", "q", "m").agg(F.max("sim").alias("sim"))
-        if min_similarity is None:
-            best = Window.partitionBy("grp", "q").orderBy(F.desc("sim"), "m")
-            links = links.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+    assigned = write_table(_posted(reps, dim, probing, sample_max, list_size), "posted")
+    found = _blocks(assigned, block_rows).groupBy("grp", "list", "block").applyInPandas(
+        lambda key, pdf: _scan(dim, k, min_similarity)(pdf).assign(grp=key[0]), "grp string, q long, m long, sim float"
+    )
+    links = found.groupBy("grp", "q", "m").agg(F.max("sim").alias("sim"))
+    if min_similarity is None:
+        best = Window.partitionBy("grp", "q").orderBy(F.desc("sim"), "m")
+        links = links.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
     return links, _classes(direction, reps)
 
 
