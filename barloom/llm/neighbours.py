@@ -44,8 +44,8 @@ class Probing:
 
     post_lists: int = 4
     post_ratio: float = 1.25
-    visit_lists: int = 12
-    visit_ratio: float = 1.35
+    visit_lists: int = 16
+    visit_ratio: float = 1.5
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 4) -> np.ndarray:

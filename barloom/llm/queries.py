@@ -44,17 +44,32 @@ def p1_found(spark, sf_dir):
     return pairs.select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
 
 
-@register("p1_neighbours")
+_UNITS = """
+WITH v AS (SELECT DISTINCT index_name, vec_id, list_transform(vec, lambda x: CAST(x AS DOUBLE)) AS v FROM vectors WHERE len(vec) = 64 AND vec_id IS NOT NULL),
+w AS (SELECT *, sqrt(list_inner_product(v, v)) AS norm FROM v),
+u AS (SELECT index_name, vec_id, list_transform(v, lambda x: CAST(x / norm AS FLOAT)) AS unit FROM w WHERE norm > 0 AND NOT isnan(norm)),
+c AS (SELECT *, min(vec_id) OVER (PARTITION BY index_name, unit) AS class, count(*) OVER (PARTITION BY index_name, unit) AS members FROM u)
+"""
+
+
+@register(
+    "p1_neighbours",
+    _UNITS + """, r AS (SELECT * FROM c WHERE vec_id = class),
+s AS (SELECT a.index_name, a.class, b.class AS neighbour, list_inner_product(a.unit, b.unit) AS similarity FROM r a JOIN r b ON a.index_name = b.index_name AND a.class <> b.class
+  WHERE EXISTS (SELECT 1 FROM c x WHERE x.index_name = a.index_name AND x.class = a.class AND x.vec_id % 50 = 0)
+  QUALIFY row_number() OVER (PARTITION BY a.index_name, a.class ORDER BY similarity DESC, neighbour) <= 10)
+SELECT index_name, vec_id, class, neighbour, round(CAST(similarity AS DOUBLE), 3) AS similarity FROM c JOIN s USING (index_name, class) WHERE vec_id % 50 = 0""",
+)
 def p1_neighbours(spark, sf_dir):
     """Ten directions for each asked vec_id; ``class`` and ``neighbour`` stand for all their copies in p1_copies."""
-    wide = neighbours.Probing(visit_lists=128, visit_ratio=1.6)
+    wide = neighbours.Probing(visit_lists=32, visit_ratio=1.7)
     asked = F.col("id") % 50 == 0
     links, classes = neighbours.similar_vectors(table(spark, sf_dir, "vectors"), k=10, query_filter=asked, probing=wide)
     links = neighbours.by_asked_id(links, classes.where(asked))
-    return links.select(F.col("grp").alias("index_name"), F.col("id").alias("vec_id"), F.col("q").alias("class"), F.col("m").alias("neighbour"), F.round("sim", 5).alias("similarity"))
+    return links.select(F.col("grp").alias("index_name"), F.col("id").alias("vec_id"), F.col("q").alias("class"), F.col("m").alias("neighbour"), F.round(F.col("sim").cast("double"), 3).alias("similarity"))
 
 
-@register("p1_copies")
+@register("p1_copies", _UNITS + "SELECT index_name, vec_id, class FROM c WHERE members > 1")
 def p1_copies(spark, sf_dir):
     classes = neighbours.copies(table(spark, sf_dir, "vectors"))
     return classes.select(F.col("grp").alias("index_name"), F.col("id").alias("vec_id"), F.col("rep").alias("class"))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm.neighbours import CentroidGraph, Probing, similar_pairs, similar_vectors
 
@@ -52,6 +53,32 @@ def test_knn_recall(spark):
     assert recall >= 0.9 and all(len(v) <= 10 for v in got.values())
 
 
+@pytest.mark.parametrize("n", [6_000, 16_000])
+def test_default_probing_reaches_the_recall(spark, n):
+    """With more lists than four times what is visited, so that the centroid graph is searched."""
+    rows, x = data(n, seed=n, groups=("g", "g"))
+    links, _ = similar_vectors(spark.createDataFrame(rows, SCHEMA), k=10, list_size=60, query_filter=F.col("id") % 50 == 0)
+    assert n / 60 > 4 * Probing().visit_lists
+    got = {}
+    for r in links.collect():
+        got.setdefault(r.q, set()).add(r.m)
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    asked = np.arange(0, n, 50)
+    s = u[asked] @ u.T
+    s[np.arange(len(asked)), asked] = -2
+    best = np.argsort(-s, axis=1)[:, :10]
+    # 64 dimensions without structure are the hard case; the near partners are found
+    near = [set(b[:3].tolist()) <= got[i] for i, b in zip(asked.tolist(), best)]
+    assert np.mean(near) >= 0.99
+
+
+def test_many_small_groups(spark):
+    rows, x = data(1500)
+    rows = [(i, f"g{i // 5}", *rest) for i, _, *rest in rows]
+    want = truth(x, [r[1] for r in rows], 0.9)
+    assert {(r.a, r.b) for r in similar_pairs(spark.createDataFrame(rows, SCHEMA), 0.9).collect()} == want
+
+
 def test_dirty_rows_and_copies(spark):
     v = [1.0] + [0.0] * 63
     w = [0.999, 0.02] + [0.0] * 62
