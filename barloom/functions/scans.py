@@ -17,10 +17,20 @@ class Ewm:
         self.alpha, self.least, self.mean, self.gap, self.seen = alpha, least, None, 0, 0
 
     def step(self, x):
-        head = [] if self.mean is None else [self.mean] + [NAN] * min(self.gap, 5000)
-        joined = np.concatenate((head, x)) if head else x
-        y = pd.Series(joined).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[len(head):]
         there = ~np.isnan(x)
+        first = int(np.argmax(there)) if there.any() else len(x)
+        if self.mean is None or first == len(x):
+            y = pd.Series(x).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()
+            if self.mean is not None:
+                y[:] = self.mean
+        else:
+            # the level so far weighs (1 - alpha) to the power of the rows since its last value, the next value alpha
+            old = (1 - self.alpha) ** (self.gap + first + 1)
+            blend = (old * self.mean + self.alpha * x[first]) / (old + self.alpha)
+            rest = x[first:].copy()
+            rest[0] = blend
+            y = np.full(len(x), self.mean)
+            y[first:] = pd.Series(rest).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()
         count = self.seen + np.cumsum(there)
         if len(x):
             self.seen = int(count[-1])

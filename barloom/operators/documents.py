@@ -19,7 +19,7 @@ PAGE_CHARS = 12_000
 
 
 def validate_request(slug: str, max_chars: int) -> None:
-    if not re.fullmatch(r"[a-z0-9][a-z0-9-]{0,127}", slug):
+    if len(slug) > 128 or not re.fullmatch(r"[a-z0-9]+(?:-[a-z0-9]+)*", slug):
         raise ValueError(f"{slug!r} is no slug")
     if not 0 <= max_chars <= MAX_CHARS:
         raise ValueError(f"max_chars must lie between 0 and {MAX_CHARS}")

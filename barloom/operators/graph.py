@@ -176,15 +176,18 @@ class Graph:
 
     # traversal
 
-    def closure(self, start: list[str], relations: list[str], *, upward: bool, most: int = 10_000) -> DataFrame:
-        """``id, hops`` of all nodes reachable over the relations, without the start itself; circles end where they close."""
+    def closure(self, start: list[str], relations: list[str], *, upward: bool) -> DataFrame:
+        """``id, hops`` of all nodes reachable over the relations, without the start itself; circles end where they close.
+
+        A hop asks the step table which rows start at the frontier, spread by their other end, so a hub is no hot task.
+        """
         a, b = ("src", "dst") if upward else ("dst", "src")
         steps = write_table(self.edges.where(F.col("relation").isin(relations)).select(F.col(a).alias("id"), F.col(b).alias("next")), "steps")
         seen = self.spark.createDataFrame([(s, 0) for s in start], "id string, hops int")
         front, hop = seen, 0
-        while hop < most:
+        while True:
             hop += 1
-            new = front.select("id").join(steps, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti")
+            new = spread_lookup(steps, front.select("id"), ["id"], F.col("next"), "left_semi").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti")
             front = write_table(new.select("id", F.lit(hop).alias("hops")), "frontier")
             if front.isEmpty():
                 break
@@ -232,7 +235,8 @@ class Graph:
         for t in query_terms(why or ""):
             rows = rows.where(carries(F.lower(F.coalesce("why", F.lit(""))), t))
         rows = rows.join(self.nodes.select("id", "primitive"), "id").select("direction", "relation", "id", "primitive", "why")
-        return rows.where(F.col("primitive") == primitive) if primitive else rows
+        rows = rows.where(F.col("primitive") == primitive) if primitive else rows
+        return rows.orderBy("direction", "relation", "id")
 
     def subgraph(self, ref: str, radius: int = 1, max_nodes: int | None = None) -> tuple[DataFrame, DataFrame]:
         """Nodes ``id, hops`` within a radius (nearest first up to ``max_nodes``) and the edges among them."""
@@ -240,7 +244,8 @@ class Graph:
         both = write_table(self.edges.select("src", "dst").union(self.edges.select("dst", "src")).toDF("id", "next"), "both")
         seen = front = self.spark.createDataFrame([(i, 0)], "id string, hops int")
         for hop in range(1, radius + 1):
-            front = write_table(front.select("id").join(both, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hops")), "ball")
+            near = spread_lookup(both, front.select("id"), ["id"], F.col("next"), "left_semi").select(F.col("next").alias("id")).distinct()
+            front = write_table(near.join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hops")), "ball")
             seen = seen.unionByName(front)
         if max_nodes is not None:
             seen = seen.orderBy("hops", "id").limit(max_nodes)
@@ -248,16 +253,24 @@ class Graph:
         inner = self.edges.join(seen.select(F.col("id").alias("src")), "src", "left_semi")
         return seen, spread_lookup(inner, seen.select(F.col("id").alias("dst")), ["dst"], F.col("src"), "left_semi")
 
-    def path(self, a: str, b: str, max_depth: int = 6) -> list[str] | None:
-        """A shortest undirected path (of equal ones the least), or None."""
+    def _steps(self, relations: list[str] | None, why: str | None) -> DataFrame:
+        """``id, next, forward``: the edges walked in either direction, of some relations and reasons only."""
+        e = self.edges.where(F.col("relation").isin(relations)) if relations else self.edges
+        for t in query_terms(why or ""):
+            e = e.where(carries(F.lower(F.coalesce("why", F.lit(""))), t))
+        out = e.select(F.col("src").alias("id"), F.col("dst").alias("next"), F.lit(True).alias("forward"))
+        return write_table(out.union(e.select("dst", "src", F.lit(False))).distinct(), "steps")
+
+    def path(self, a: str, b: str, max_depth: int = 6, *, relations: list[str] | None = None, why: str | None = None) -> list[str] | None:
+        """A shortest undirected path (of equal ones the least), or None; over some relations or edge reasons only, if given."""
         a, b = self.resolve(a), self.resolve(b)
         if a == b:
             return [a]
-        both = write_table(self.edges.select("src", "dst").union(self.edges.select("dst", "src")).toDF("id", "next").distinct(), "both")
+        both = self._steps(relations, why).select("id", "next").distinct()
         seen = self.spark.createDataFrame([(a,)], "id string")
         front = self.spark.createDataFrame([(a, [a])], "id string, way array<string>")
         for _ in range(max_depth):
-            step = front.join(both, "id").select(F.col("next").alias("id"), F.concat("way", F.array("next")).alias("way"))
+            step = spread_lookup(both, front, ["id"], F.col("next")).select(F.col("next").alias("id"), F.concat("way", F.array("next")).alias("way"))
             front = write_table(step.join(seen, "id", "left_anti").groupBy("id").agg(F.min("way").alias("way")), "paths")
             hit = front.where(F.col("id") == b).select("way").first()
             if hit:
@@ -267,19 +280,35 @@ class Graph:
             seen = write_table(seen.union(front.select("id")), "seen")
         return None
 
-    def all_paths(self, a: str, b: str, max_depth: int = 4) -> DataFrame:
-        """``way`` of every simple undirected path up to a length; a path never meets a node twice."""
+    def all_paths(self, a: str, b: str, max_depth: int = 4, *, relations: list[str] | None = None, why: str | None = None, sibling_hops: bool = False, limit: int | None = None, max_steps: int | None = None) -> Result:
+        """``way, hops`` of every simple undirected path up to a length, shortest first; a path never meets a node twice.
+
+        Paths that enter a node by an edge that points at it and leave it against another such edge
+        (two children of one parent) are left out unless ``sibling_hops``.  With ``max_steps`` the
+        search ends before the hop that would take more steps in all, and the note says so.
+        """
         a, b = self.resolve(a), self.resolve(b)
-        both = write_table(self.edges.select("src", "dst").union(self.edges.select("dst", "src")).toDF("id", "next").distinct(), "both")
-        front = self.spark.createDataFrame([(a, [a])], "id string, way array<string>")
-        found = None
-        for _ in range(max_depth):
-            step = front.join(both, "id").where(~F.array_contains("way", F.col("next"))).select(F.col("next").alias("id"), F.concat("way", F.array("next")).alias("way"))
-            step = write_table(step, "ways")
-            hit = step.where(F.col("id") == b).select("way")
-            found = hit if found is None else found.union(hit)
+        found = self.spark.createDataFrame([([a], 0)] if a == b else [], "way array<string>, hops int")
+        both = self._steps(relations, why)
+        degree = write_table(both.groupBy("id").agg(F.count("*").alias("n")), "degrees")
+        front = self.spark.createDataFrame([] if a == b else [(a, [a], False)], "id string, way array<string>, into boolean")
+        taken, note = 0, ""
+        for hop in range(1, max_depth + 1):
+            ahead = front.join(degree, "id").agg(F.sum("n")).first()[0] or 0
+            if not ahead:
+                break
+            taken += ahead
+            if max_steps is not None and taken > max_steps:
+                note = f"the search stopped before hop {hop}, which would take it beyond {max_steps} steps: there may be more; lower max_depth or name relations"
+                break
+            step = front.join(both, "id").where(~F.array_contains("way", F.col("next")))
+            if not sibling_hops:
+                step = step.where(~F.col("into") | F.col("forward"))
+            step = write_table(step.select(F.col("next").alias("id"), F.concat("way", F.array("next")).alias("way"), F.col("forward").alias("into")).distinct(), "ways")
+            found = found.union(step.where(F.col("id") == b).select("way", F.lit(hop).alias("hops")).distinct())
             front = step.where(F.col("id") != b)
-        return found
+        done = cap(found.orderBy("hops", "way"), limit, "paths")
+        return Result(done.items, done.total, done.truncated or bool(note), "; ".join(x for x in (done.note, note) if x))
 
     # search
 
@@ -351,27 +380,48 @@ class Graph:
             rows = rows.where(F.col("units") == units)
         if bounded is not None:
             rows = rows.where(F.col("bounded") == bounded)
-        return rows.join(self.in_class(kind), "id", "left_semi") if kind else rows
+        rows = rows.join(self.in_class(kind), "id", "left_semi") if kind else rows
+        return rows.orderBy("id", "output")
+
+    def semantic_index(self, components: int = 128):
+        """The latent semantic index over the weighted bands of all nodes."""
+        from barloom.operators.retrieval import build_semantic_index, weighted_documents
+
+        return build_semantic_index(weighted_documents(self.haystacks()), components)
+
+    def semantic_ranking(self, query: str, pool: int = 60, components: int = 128) -> DataFrame:
+        """``ranking, id, rank`` of the nodes that mean most nearly what the query says."""
+        from barloom.operators.retrieval import ranking
+
+        return ranking(self.semantic_index(components).similar(query, pool), "semantic")
+
+    def dense_ranking(self, vectors: DataFrame, question: list[float], pool: int = 60) -> DataFrame:
+        """``ranking, id, rank`` of the nodes whose vectors (of a dense index) lie nearest to the question's."""
+        from barloom.operators.retrieval import dense_similar, ranking
+
+        return ranking(dense_similar(vectors, question, pool, subset=self.nodes), "dense")
 
     def ask(self, query: str, rankings: DataFrame | None = None, *, hops: int = 1, pool: int = 60) -> DataFrame:
-        """``id, hops, via, score``: seeds by fused rankings and by search, widened over edges and ranked by fusion.
+        """``id, hops, via, route, score``: seeds by fused rankings and by search, widened over edges and ranked by fusion.
 
-        ``rankings`` holds ``ranking, id, rank`` of retrievers.  A query of which no term occurs gives no rows.
+        ``rankings`` holds ``ranking, id, rank`` of retrievers (see :meth:`semantic_ranking` and
+        :meth:`dense_ranking`).  ``route`` leads from a seed to the node, ``via`` is the node before it.
+        A query of which no term occurs gives no rows.
         """
         found = self.find(query)
         if found.isEmpty():
-            return self.spark.createDataFrame([], "id string, hops int, via string, score double")
+            return self.spark.createDataFrame([], "id string, hops int, via string, route array<string>, score double")
         from pyspark.sql import Window
 
         ranked = found.limit(pool).withColumn("rank", F.row_number().over(Window.orderBy("missing", "tier", "id"))).select(F.lit("find").alias("ranking"), "id", "rank")
         if rankings is not None:
             ranked = rankings.where(F.col("rank") <= pool).select("ranking", "id", "rank").unionByName(ranked)
         score = write_table(fuse(ranked), "fused")
-        reach = score.select("id", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via"))
+        front = reach = score.select("id", F.lit(0).alias("hops"), F.array("id").alias("route"))
         both = self.edges.select("src", "dst").union(self.edges.select("dst", "src")).toDF("id", "next")
-        front = reach
         for hop in range(1, hops + 1):
-            step = front.select("id").join(both, "id").groupBy("next").agg(F.min("id").alias("via")).withColumnRenamed("next", "id")
-            front = write_table(step.join(reach, "id", "left_anti").select("id", F.lit(hop).alias("hops"), "via"), "asked")
+            step = spread_lookup(both, front.select("id", "route"), ["id"], F.col("next")).groupBy(F.col("next").alias("id")).agg(F.min("route").alias("route"))
+            front = write_table(step.join(reach, "id", "left_anti").select("id", F.lit(hop).alias("hops"), F.concat("route", F.array("id")).alias("route")), "asked")
             reach = reach.unionByName(front)
-        return reach.join(score, "id", "left").select("id", "hops", "via", F.coalesce("score", F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "hops", "id")
+        via = F.when(F.col("hops") > 0, F.element_at("route", -2)).alias("via")
+        return reach.join(score, "id", "left").select("id", "hops", via, "route", F.coalesce("score", F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "hops", "id")

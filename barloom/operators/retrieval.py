@@ -52,14 +52,15 @@ def fuse_rankings(*rankings: DataFrame) -> DataFrame:
     return fuse(whole)
 
 
-def chunks_of(haystacks: DataFrame, summaries: DataFrame) -> DataFrame:
-    """``id, row_no, text``: a node's name and summary, then windows of its details led by the name, eight rows at most."""
+def chunks_of(haystacks: DataFrame, summaries: DataFrame, max_chunks: int | None = MAX_CHUNKS) -> DataFrame:
+    """``id, row_no, text``: a node's name and summary, then windows of its details led by the name, eight rows at most by default (None: all)."""
     rows = haystacks.join(summaries.selectExpr("id", "summary as own_summary"), "id")
     words = F.filter(F.split(F.concat_ws(" ", "t2", "t3", "t4"), r"\s+"), lambda w: w != "")
     starts = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words), F.lit(CHUNK_WORDS))).otherwise(F.array().cast("array<int>"))
     detail = F.transform(starts, lambda s: F.concat(F.col("name"), F.lit(". "), F.array_join(F.slice(words, s, F.lit(CHUNK_WORDS)), " ")))
     head = F.array(F.trim(F.concat(F.col("name"), F.lit(". "), F.coalesce("own_summary", F.lit("")))))
-    return rows.select("id", F.posexplode(F.slice(F.concat(head, detail), 1, MAX_CHUNKS)).alias("row_no", "text"))
+    chunks = F.concat(head, detail)
+    return rows.select("id", F.posexplode(chunks if max_chunks is None else F.slice(chunks, 1, max_chunks)).alias("row_no", "text"))
 
 
 def weighted_documents(haystacks: DataFrame) -> DataFrame:

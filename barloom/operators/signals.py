@@ -15,8 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.text import W, frame, lag, num, row_no
-from barloom.operators.indicators import INDICATORS, Request, plan, request
+from barloom.functions.text import frame, lag, num, row_no
+from barloom.operators.indicators import Request, plan, request
 from barloom.operators.multi_timeframe import multi_tf_slope
 from barloom.plans.scan_sql import swing_sql
 from barloom.plans.staging import to_spark, to_sql
@@ -232,7 +232,7 @@ for _n, _pred in (  # a zero delta counts as the negative side
     ("rsi_bullish_divergence", "d.low_price_delta <= 0 AND d.low_indicator_delta > 0"), ("rsi_hidden_bullish_divergence", "d.low_price_delta > 0 AND d.low_indicator_delta <= 0"),
     ("rsi_bearish_divergence", "d.high_price_delta > 0 AND d.high_indicator_delta <= 0"), ("rsi_hidden_bearish_divergence", "d.high_price_delta <= 0 AND d.high_indicator_delta > 0"),
 ):
-    signal(_n, TRIGGER, "close", {"rsi_window": 14, "swing_window": 5, "min_swing_distance": 10}, 1, {}, _pred, category=_M, special="rsi_swings")
+    signal(_n, TRIGGER, "close", {"rsi_window": 14, "swing_window": 5, "min_swing_distance": 10}, lambda p: p["rsi_window"] + 2 * p["swing_window"] + p["min_swing_distance"], {}, _pred, category=_M, special="rsi_swings")
 
 # oscillators
 
@@ -504,7 +504,7 @@ def signal_frame(bars: DataFrame, rules: list[tuple[str, dict]]) -> DataFrame:
     todo = [(SIGNALS[n], resolve_params(SIGNALS[n], p)) for n, p in rules]
     if live := [s.name for s, _ in todo if s.live]:
         raise ValueError(f"live signals are no columns: {live}")
-    have, lost = set(bars.columns), [not set(s.requires) <= set(bars.columns) for s, _ in todo]
+    lost = [not set(s.requires) <= set(bars.columns) for s, _ in todo]
     requests, owner = [], []
     for i, (s, p) in enumerate(todo):
         if not lost[i]:
@@ -519,7 +519,6 @@ def signal_frame(bars: DataFrame, rules: list[tuple[str, dict]]) -> DataFrame:
     names: dict[int, dict] = {}
     for (i, alias), n in zip(owner, out):
         names.setdefault(i, {})[alias] = n
-    del have
     pre, preds = {}, []
     for i, (s, p) in enumerate(todo):
         if lost[i]:
@@ -567,7 +566,7 @@ def signal_sql(bars_sql: str, name: str, params: dict | None = None) -> str | No
         ctes, n = to_sql("bars", builders)
         text = _DOTTED.sub(lambda m: m[2] if m[1] == "d" else m[0], s.pred(p))
         head = swing_sql(f"WITH bars AS ({bars_sql}),\n{ctes.replace('0.0D', '0.0')}", f"s{n}", "close", out[0]["rsi"], p["swing_window"], p["min_swing_distance"])
-        return f"{head}\nSELECT symbol, ts, coalesce({text}, false) AS fired FROM deltas"
+        return f"{head}\nSELECT symbol, ts, coalesce(({text}) AND {row_no()} >= {int(s.least(p))}, false) AS fired FROM deltas"
     if s.special or s.live:
         return None
     uses = s.uses(p)
@@ -588,5 +587,3 @@ def signal_sql(bars_sql: str, name: str, params: dict | None = None) -> str | No
     ctes = ctes.replace("0.0D", "0.0")
     return f"WITH RECURSIVE bars AS ({bars_sql}),\n{ctes}{more},\nj AS (SELECT b.*{cols} FROM {last} b{joins}),\nk AS (SELECT *{pre} FROM j)\nSELECT symbol, ts, coalesce(({text}) AND {row_no()} >= {int(s.least(p))}, false) AS fired FROM k"
 
-
-assert W and INDICATORS

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators import graph_store as gs
-from barloom.operators import retrieval as r
-from barloom.operators.graph import BACKBONE, RELATIONS, Graph, query_terms, variants
+from barloom.operators.graph import BACKBONE, RELATIONS, Graph
 from barloom.queries import register, table
 
 _G = """
@@ -64,14 +63,14 @@ _simple(
 )
 
 
-def _find_sql(query: str) -> str:
-    any_of = lambda band, t: "(" + " OR ".join(f"contains({band}, '{v}')" for v in variants(t)) + ")"
-    terms = query_terms(query)
+def _find_sql(terms: list[list[str]]) -> str:
+    """``terms``: the spellings of each term of the question, written out."""
+    any_of = lambda band, t: "(" + " OR ".join(f"contains({band}, '{v}')" for v in t) + ")"
     p = lambda k: f"coalesce(props['{k}'], '')"
     ranked = ["abbreviation", "formula", "reference", "interpretation", "applications", "explanation", "principles", "practices", "examples", "friendly_name", "short_description"]
     authored = " || ' ' || ".join([*map(p, ranked[1:9]), "array_to_string(map_keys(inputs), ' ')", "array_to_string(map_values(inputs), ' ')", "array_to_string(map_keys(params), ' ')", "array_to_string(map_keys(outputs), ' ')", "coalesce(array_to_string(list_transform(map_values(outputs), lambda o: concat_ws(' ', o.otype, o.units, o.canonical_name, o.description)), ' '), '')"])
     rest = f"coalesce(array_to_string(list_transform(list_filter(map_entries(props), lambda e: e.key NOT IN ({', '.join(repr(r) for r in ranked)})), lambda e: e.value), ' '), '')"
-    bands = ["concat_ws(' ', name, id)", p("abbreviation"), "coalesce(summary, '')", authored, f"concat_ws(' ', primitive, status, epistemic, {rest})"]
+    bands = ["concat_ws(' ', name, id)", p("abbreviation"), "coalesce(summary, '')", authored, f"concat_ws(' ', primitive, status, epistemic, {rest}, reasons)"]
     hay = ", ".join(f"regexp_replace(lower({b}), 'https?://\\S+|www\\.\\S+', ' ', 'g') AS t{i}" for i, b in enumerate(bands))
     hits = ", ".join("CASE " + " ".join(f"WHEN {any_of(f't{i}', t)} THEN {i}" for i in range(5)) + f" END AS h{k}" for k, t in enumerate(terms))
     flags = ", ".join(f"(SELECT count(h{k}) <= 0.4 * count(*) FROM hits) AS r{k}" for k in range(len(terms)))
@@ -79,11 +78,15 @@ def _find_sql(query: str) -> str:
     use = [f"CASE WHEN r{k} OR NOT ({all_rare}) THEN h{k} END" for k in range(len(terms))]
     used = " + ".join(f"CASE WHEN r{k} OR NOT ({all_rare}) THEN 1 ELSE 0 END" for k in range(len(terms)))
     have = " + ".join(f"CASE WHEN ({u}) IS NOT NULL THEN 1 ELSE 0 END" for u in use)
-    return f", hay AS (SELECT id, name, {hay} FROM nn), hits AS (SELECT id, name, {hits} FROM hay), c AS (SELECT {flags}), s AS (SELECT id, name, {have} AS have, {used} AS used, greatest({', '.join(use)}, -1) AS tier FROM hits, c) SELECT id, name, CAST(used - have AS INT) AS missing, tier FROM s WHERE have > 0 AND have = (SELECT max(have) FROM s)"
+    said = "SELECT src, string_agg(why, ' ' ORDER BY dst, relation) AS reasons FROM ee WHERE why <> '' GROUP BY 1"
+    return f", said AS ({said}), hay AS (SELECT id, name, {hay} FROM nn LEFT JOIN said ON said.src = nn.id), hits AS (SELECT id, name, {hits} FROM hay), c AS (SELECT {flags}), s AS (SELECT id, name, {have} AS have, {used} AS used, greatest({', '.join(use)}, -1) AS tier FROM hits, c) SELECT id, name, CAST(used - have AS INT) AS missing, tier FROM s WHERE have > 0 AND have = (SELECT max(have) FROM s)"
 
 
-for _k, _q in (("graph_find", "bullish envelopes"), ("graph_find_partial", "order flow zzzz indicator")):
-    _simple(_k, _find_sql(_q), lambda g, q=_q: g.find(q))
+for _k, _q, _t in (
+    ("graph_find", "the bullish envelopes", [["bullish", "bullishs", "bullishes"], ["envelopes", "envelop", "envelope"]]),
+    ("graph_find_partial", "order flow zzzz indicator", [["order", "orders", "orderes"], ["flow", "flows", "flowes"], ["zzzz", "zzzzs", "zzzzes"], ["indicator", "indicators", "indicatores"]]),
+):
+    _simple(_k, _find_sql(_t), lambda g, q=_q: g.find(q))
 
 
 @register("graph_path", _G + f", b AS (SELECT src AS id, dst AS nxt FROM ee UNION SELECT dst, src FROM ee), w AS (SELECT '{_MOM}' AS id, ['{_MOM}'] AS way UNION ALL SELECT nxt, list_append(way, nxt) FROM w JOIN b USING (id) WHERE NOT list_contains(way, nxt) AND len(way) < 4) SELECT CAST(min(len(way)) - 1 AS INT) AS n_links FROM w WHERE id = 'property:role-filter'")
@@ -92,9 +95,15 @@ def graph_path(spark, sf_dir):
     return spark.createDataFrame([(len(way) - 1 if way else None,)], "n_links int")
 
 
-@register("graph_all_paths", _G + f", b AS (SELECT src AS id, dst AS nxt FROM ee UNION SELECT dst, src FROM ee), w AS (SELECT '{_MOM}' AS id, ['{_MOM}'] AS way UNION ALL SELECT nxt, list_append(way, nxt) FROM w JOIN b USING (id) WHERE NOT list_contains(way, nxt) AND len(way) < 4 AND id <> 'property:role-filter') SELECT array_to_string(way, ' > ') AS way FROM w WHERE id = 'property:role-filter'")
+@register(
+    "graph_all_paths",
+    _G + f""", b AS (SELECT src AS id, dst AS nxt, true AS fwd FROM ee UNION SELECT dst, src, false FROM ee),
+w AS (SELECT '{_MOM}' AS id, ['{_MOM}'] AS way, false AS arrow_in UNION
+  SELECT nxt, list_append(way, nxt), fwd FROM w JOIN b USING (id) WHERE NOT list_contains(way, nxt) AND len(way) < 4 AND id <> 'property:role-filter' AND (fwd OR NOT arrow_in))
+SELECT DISTINCT array_to_string(way, ' > ') AS way, CAST(len(way) - 1 AS INT) AS hops FROM w WHERE id = 'property:role-filter'""",
+)
 def graph_all_paths(spark, sf_dir):
-    return graph(spark, sf_dir).materialise().all_paths(_MOM, "property:role-filter", 3).select(F.array_join("way", " > ").alias("way"))
+    return graph(spark, sf_dir).materialise().all_paths(_MOM, "property:role-filter", 3).items.select(F.array_join("way", " > ").alias("way"), "hops")
 
 
 @register("graph_ask")
@@ -103,9 +112,8 @@ def graph_ask(spark, sf_dir):
     g, question = graph(spark, sf_dir).materialise(), "which bullish envelope filters the momentum"
     v = table(spark, sf_dir, "vectors")
     given = v.where("vec_id = 7 and size(vec) = 64").first()
-    near = r.dense_similar(v.where(F.col("index_name") == given["index_name"]), given["vec"], 60, subset=g.nodes)
-    means = r.build_semantic_index(r.weighted_documents(g.haystacks()), 128).similar(question, 60)
-    return g.ask(question, r.ranking(means, "semantic").unionByName(r.ranking(near, "dense")), hops=1)
+    near = g.dense_ranking(v.where(F.col("index_name") == given["index_name"]), given["vec"])
+    return g.ask(question, g.semantic_ranking(question).unionByName(near), hops=1)
 
 
 # the store
@@ -118,7 +126,7 @@ _simple(
 )
 _simple("store_traverse", _reach(_MOM, ["kind-of", "instance-of", "part-of"], True) + "SELECT id FROM r", lambda g: gs.reachable(g.edges, g.nodes.where(F.col("id") == _MOM), ["kind-of", "instance-of", "part-of"]).select("id"))
 _simple("store_impact", _reach(_MOM, RELATIONS, False) + f"SELECT id FROM r WHERE id <> '{_MOM}'", lambda g: gs.impact(g.materialise().edges, _MOM).select("id"))
-_simple("store_counts", "SELECT primitive, status, count(*) AS n FROM nn GROUP BY 1, 2", lambda g: g.nodes.groupBy("primitive", "status").agg(F.count("*").alias("n")))
+_simple("store_counts", "SELECT 'primitive' AS what, primitive AS value, count(*) AS n FROM nn GROUP BY 2 UNION ALL SELECT 'relation', relation, count(*) FROM ee GROUP BY 2", lambda g: gs.counts(g.nodes, g.edges))
 _simple(
     "store_coverage", "SELECT 'primitive' AS what, 5 AS declared, count(DISTINCT primitive) AS used, count(DISTINCT primitive) / 5 AS share FROM nn UNION ALL SELECT 'relation', 7, count(DISTINCT relation), count(DISTINCT relation) / 7 FROM ee",
     lambda g: gs.coverage(g.nodes, g.edges, ["Concept", "Procedure", "Module", "Property", "Principle"], list(RELATIONS)),
@@ -133,7 +141,33 @@ def store_diff(spark, sf_dir):
     return gs.diff(gs.snapshot(a, ["id"]), gs.snapshot(b, ["id"]))
 
 
-@register("store_sweep", _G + "SELECT id, CASE WHEN primitive = 'Concept' THEN status ELSE 'deprecated' END AS status FROM nn")
+_SEEDED = "CASE WHEN primitive = 'Concept' THEN 2 WHEN status = 'draft' THEN NULL ELSE 1 END"
+
+
+@register("store_sweep", _G + f"SELECT id, CASE WHEN primitive = 'Concept' OR status = 'draft' THEN status ELSE 'deprecated' END AS status FROM nn")
 def store_sweep(spark, sf_dir):
+    """Reseed 2 wrote the concepts again; drafts were proposed at run time."""
     g = graph(spark, sf_dir)
-    return gs.sweep(g.nodes, g.edges, g.nodes.where("primitive = 'Concept'"), g.edges)[0].select("id", "status")
+    return gs.sweep(g.nodes.withColumn("reseed_seq", F.expr(_SEEDED)), g.edges.withColumn("reseed_seq", F.lit(2)), 2)[0].select("id", "status")
+
+
+_simple("store_knowledge_nodes", "SELECT id, name FROM nn WHERE primitive IS NOT NULL AND status = 'draft'", lambda g: gs.knowledge_nodes(g.nodes, "draft").select("id", "name"))
+_simple("store_nodes_by_primitive", "SELECT id, name FROM nn WHERE primitive = 'Principle'", lambda g: gs.nodes_by_primitive(g.nodes, "Principle").select("id", "name"))
+_PARENTS = [("kind-of", "structural"), ("part-of", "structural"), ("instance-of", "structural"), ("structural", "associated-with"), ("uses", "associative"), ("associative", "associated-with")]
+_simple(
+    "store_edges_by_relation", "SELECT src, dst, relation FROM ee WHERE relation IN ('kind-of', 'part-of', 'instance-of')",
+    lambda g: gs.edges_by_relation(g.edges, "structural", g.spark.createDataFrame(_PARENTS, "relation string, parent string")).select("src", "dst", "relation"),
+)
+_simple(
+    "store_resolve", "SELECT id FROM (SELECT DISTINCT id FROM nn WHERE contains(lower(id), 'envelope') OR contains(lower(name), 'envelope') ORDER BY length(id), id LIMIT 12)",
+    lambda g: g.spark.createDataFrame([(i,) for i in gs.resolve(g.nodes, "envelope")], "id string"),
+)
+_simple(
+    "store_circles",
+    """, e AS (SELECT DISTINCT relation, src, dst FROM ee WHERE relation IN ('kind-of', 'part-of', 'supersedes')),
+t AS (SELECT relation, src AS start, dst AS fin FROM e UNION SELECT t.relation, t.start, e.dst FROM t JOIN e ON e.relation = t.relation AND e.src = t.fin),
+ring AS (SELECT DISTINCT relation, start AS id FROM t WHERE start = fin)
+SELECT relation, src, dst FROM e WHERE EXISTS (SELECT 1 FROM ring r WHERE r.relation = e.relation AND (r.id = e.src OR EXISTS (SELECT 1 FROM t WHERE t.relation = e.relation AND t.start = r.id AND t.fin = e.src)))
+  AND EXISTS (SELECT 1 FROM ring r WHERE r.relation = e.relation AND (r.id = e.dst OR EXISTS (SELECT 1 FROM t WHERE t.relation = e.relation AND t.start = e.dst AND t.fin = r.id)))""",
+    lambda g: gs.circles(g.edges),
+)

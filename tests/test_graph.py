@@ -60,7 +60,7 @@ def test_traversal(g):
 def test_paths(g):
     assert g.path("property:role", "concept:trend") == ["property:role", "procedure:rsi", "concept:momentum", "concept:technical-analysis", "concept:trend"]
     assert g.path("RSI", "RSI") == ["procedure:rsi"] and g.path("RSI", "Lonely") is None
-    assert sorted(r.way for r in g.all_paths("procedure:run-test", "concept:momentum", 3).collect()) == [["procedure:run-test", "concept:momentum"], ["procedure:run-test", "procedure:rsi", "concept:momentum"]]
+    assert sorted(r.way for r in g.all_paths("procedure:run-test", "concept:momentum", 3).items.collect()) == [["procedure:run-test", "concept:momentum"], ["procedure:run-test", "procedure:rsi", "concept:momentum"]]
 
 
 def test_search(g):
@@ -109,15 +109,65 @@ def test_store(spark, tmp_path):
     e = lambda *rows: spark.createDataFrame(list(rows), "src string, dst string, relation string")
     s = gs.GraphStore(spark, str(tmp_path / "store"))
     assert s.published() == 0 and s.history().count() == 0
-    s.write(1, n(("a", "C", "ok"), ("b", "C", "ok")), e(("a", "b", "kind-of")))
-    s.flip(s.begin_generation())
-    s.write(2, n(("a", "C", "new"), ("c", "P", "ok")), e(("a", "c", "uses")))
+    first = s.begin_generation()
+    assert (first, s.begin_generation()) == (1, 2)  # two writers don't get the same number
+    s.write(1, n(("a", "Concept", "ok"), ("b", "Concept", "ok")), e(("a", "b", "kind-of")))
+    s.flip(1)
+    s.write(2, n(("a", "Concept", "new"), ("c", "Property", "ok")), e(("a", "c", "uses")))
     s.flip(2)
     assert {(r.entity, r.change) for r in s.history().where("generation = 2").collect()} == {("a", "revised"), ("b", "invalidated"), ("c", "generated"), ("a|b|kind-of", "invalidated"), ("a|c|uses", "generated")}
+    assert [r.change for r in s.history(entity="b").collect()] == ["invalidated", "generated"]
+    assert s._numbers("nodes") == [2]  # what is older is purged
     s.purge_node("c")
     assert s.published() == 3 and s.read("nodes").count() == 1 and s.read("edges").count() == 0 and s.counts().first().n == 1
+    for bad in (e(("a", "a", "kind-of")), e(("a", "b", "kind-of"), ("b", "c", "kind-of"), ("c", "a", "kind-of")), e(("a", "b", "likes"))):
+        with pytest.raises(ValueError):
+            s.write(4, n(("a", "Concept", "ok")), bad)
     with pytest.raises(ValueError):
-        s.write(4, n(("a", "C", "ok")), e(("a", "a", "kind-of")))
+        s.write(4, n(("a", "Thing", "ok")), e(("a", "b", "uses")))
+    s.write(4, n(("a", "Concept", "ok")), e(("a", "b", "kind-of"), ("b", "a", "part-of")))  # each relation stands alone
+
+
+def test_store_reseed(spark, tmp_path):
+    n = lambda *rows: spark.createDataFrame(list(rows), "id string, primitive string, status string, created_at string")
+    e = lambda *rows: spark.createDataFrame(list(rows), "src string, dst string, relation string")
+    s = gs.GraphStore(spark, str(tmp_path / "store"))
+    s.mark_reseed()
+    g = s.begin_generation()
+    s.write(g, n(("a", "Concept", "ok", "t1"), ("b", "Concept", "ok", "t1")), e(("a", "b", "uses")))
+    s.flip(g)
+    s.reseed_seq = None
+    s.flip(s.add(n(("draft", "Concept", "draft", "t2")), e(("draft", "a", "about"))))
+    assert s.mark_reseed() == 2
+    g = s.add(n(("a", "Concept", "ok", "t3")), None)
+    nodes, edges = s.end_reseed(g)
+    assert {(r.id, r.status, r.created_at) for r in nodes.collect()} == {("a", "ok", "t1"), ("b", "deprecated", "t1"), ("draft", "draft", "t2")}
+    assert [r.src for r in edges.collect()] == ["draft"]
+    before, after = gs.snapshot(s.read("nodes"), ["id"]), gs.snapshot(nodes, ["id"])
+    assert {(r.entity, r.change) for r in gs.diff(before, after).collect()} == {("b", "invalidated")}
+
+
+def test_impact_zones(spark):
+    rows = [("module:b", "module:a", "imports"), ("module:a", "class:k", "contains"), ("class:k", "fn:f", "contains"), ("test:t", "module:a", "tests"), ("guardrail:g", "class:k", "implements"),
+            ("policy:p", "guardrail:g", "enforces"), ("policy:q", "test:t", "enforces"), ("fn:x", "fn:f", "calls"), ("module:c", "fn:x", "contains")]
+    got = {(r.zone, r.id) for r in gs.impact_zones(spark.createDataFrame(rows, "src string, dst string, relation string"), "module:a").collect()}
+    assert got == {("dependent", "module:b"), ("test", "test:t"), ("policy", "policy:p"), ("policy", "policy:q"), ("probable_user", "module:c")}
+
+
+def test_sibling_hops_and_bounds(spark):
+    """Two children of one parent are no route unless asked for; the bounds say what they cut."""
+    n = spark.createDataFrame([(x, x, None) for x in ("a", "b", "p", "m")], "id string, name string, summary string")
+    e = spark.createDataFrame([("a", "p", "kind-of", "x"), ("b", "p", "kind-of", "y"), ("a", "m", "uses", "needs it"), ("m", "b", "uses", "feeds it")], "src string, dst string, relation string, why string")
+    g = Graph(n, e)
+    ways = lambda r: [x.way for x in r.items.collect()]
+    assert ways(g.all_paths("a", "b")) == [["a", "m", "b"]]
+    assert ways(g.all_paths("a", "b", sibling_hops=True)) == [["a", "m", "b"], ["a", "p", "b"]]
+    assert ways(g.all_paths("a", "b", relations=["kind-of"], sibling_hops=True)) == [["a", "p", "b"]] and g.path("a", "b", relations=["kind-of"]) == ["a", "p", "b"]
+    assert g.path("a", "b", why="needs") is None and g.all_paths("a", "a").total == 1
+    cut = g.all_paths("a", "b", sibling_hops=True, limit=1)
+    assert cut.truncated and cut.total == 2 and cut.note == "showing 1 of 2 paths"
+    stopped = g.all_paths("a", "b", max_steps=3)
+    assert stopped.truncated and stopped.total == 0 and "stopped before hop 2" in stopped.note
 
 
 def test_store_questions(spark):
@@ -129,5 +179,8 @@ def test_store_questions(spark):
     vocabulary = spark.createDataFrame([("sub", "top"), ("subsub", "sub"), ("top", None)], "relation string, parent string")
     assert sorted(gs.relation_descendants(vocabulary, "top")) == ["sub", "subsub", "top"] and gs.relation_ancestors(vocabulary, "subsub") == ["sub", "top"]
     assert {r.what: r.share for r in gs.coverage(n, e, ["Concept", "Module"], ["kind-of", "uses"]).collect()} == {"primitive": 0.5, "relation": 1.0}
-    kept, edges = gs.sweep(n.withColumn("status", n.primitive), e, n.where("id = 'a'"), e.where("src = 'a'"))
-    assert kept.where("status = 'deprecated'").count() == 5 and edges.count() == 1
+    assert {tuple(r) for r in gs.circles(e.union(spark.createDataFrame([("c", "a", "kind-of"), ("a", "z", "kind-of")], e.schema))).collect()} == {("kind-of", "a", "b"), ("kind-of", "b", "c"), ("kind-of", "c", "a")}
+    named = n.withColumn("name", n.id)
+    assert gs.resolve(named, "a") == ["a"] and gs.resolve(named, "A") == ["a"] and gs.resolve(named, "zz") == []
+    with pytest.raises(ValueError):
+        gs.nodes_by_primitive(n, "Thing")
