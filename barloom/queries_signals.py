@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom.operators.multi_timeframe import slope_sql
 from barloom.operators.registry import RuleRegistry
 from barloom.operators.signals import SIGNALS, signal_frame, signal_sql
+from barloom.oracle_signals import signal_oracle
 from barloom.queries import register
 from barloom.sources.bars import EVENT_BARS_SQL, LINEITEM_BARS_SQL, event_bars, lineitem_bars
 
@@ -32,7 +33,8 @@ def _signal(name: str) -> None:
         slope = slope_sql(EVENT_BARS_SQL, 86400, 10)
         sql = f"SELECT symbol, ts, coalesce({s.pred(s.params)} AND row_number() OVER (PARTITION BY symbol ORDER BY ts) >= 2, false) AS fired FROM ({slope})"
     else:
-        sql = signal_sql(ALT_BARS_SQL if set(s.requires) & set(_TEXTS) else LINEITEM_BARS_SQL, name)
+        bars_sql = ALT_BARS_SQL if set(s.requires) & set(_TEXTS) else LINEITEM_BARS_SQL
+        sql = signal_oracle(name, bars_sql) or signal_sql(bars_sql, name)
 
     @register(f"sig_{name}", sql)
     def query(spark, sf_dir):
