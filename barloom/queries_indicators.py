@@ -1,4 +1,4 @@
-"""One query per indicator over daily bars of lineitem, with generated SQL."""
+"""One query per indicator over daily bars of lineitem, beside SQL: by hand for window indicators, with own recursions for scans."""
 
 from __future__ import annotations
 
@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from barloom.operators import multi_timeframe as mtf
 from barloom.operators.indicators import INDICATORS, compute, oracle, request
+from barloom.oracle_indicators import indicator_oracle
 from barloom.plans.scan_sql import swing_sql
 from barloom.queries import register
 from barloom.sources.bars import EVENT_BARS_SQL, LINEITEM_BARS_SQL, event_bars, lineitem_bars
 
 #: Decimals compared: price levels 4; sums over the whole history 2; huge readings coarser.
-DIGITS = {"ADI": 2, "OBV": 2, "VPT": 2, "ADOSC": 2, "KVO": 2, "KlingerVolumeOscillator": 2, "ForceIndex": 2, "EaseOfMovement": -5}
+DIGITS = {"HMA": 3, "ADI": 2, "OBV": 2, "VPT": 2, "ADOSC": 2, "KVO": 2, "KlingerVolumeOscillator": 2, "ForceIndex": 2, "EaseOfMovement": -6}
 #: Inputs of indicators that don't read bar columns by name.
 INPUTS = {"SwingDelta": {"price": "close", "indicator": "volume"}, "Divergence": {"price": "close", "indicator": "volume"}, "SocialZScore": {"value": "volume"}, "SocialBaselineShift": {"value": "volume"}, "OnchainChange": {"value": "close"}}
 PARAMS = {"VPT": {"smoothing_factor": 5}}
@@ -26,6 +27,7 @@ def _indicator(name: str):
     if name in ("SwingDelta", "Divergence"):
         head = swing_sql(f"WITH bars AS ({LINEITEM_BARS_SQL})", "bars", "close", "volume", 5, 10)
         sql = f"{head}\nSELECT symbol, ts, " + ", ".join(f"round(CAST({o} AS DOUBLE), {digits}) AS {o}" for o in INDICATORS[name].outputs) + " FROM deltas"
+    sql = indicator_oracle(name, LINEITEM_BARS_SQL, INDICATORS[name].outputs, digits) or sql
     shown = {o: f"o_{o}" for o in INDICATORS[name].outputs}
     if name == "NVI":  # spans many orders of size: compared as its logarithm
         sql = re.sub(r"round\(CAST\((\w+) AS DOUBLE\)", r"round(ln(1 + \1)", sql)
