@@ -14,7 +14,9 @@ from barloom.queries import register
 from barloom.sources.bars import EVENT_BARS_SQL, LINEITEM_BARS_SQL, event_bars, lineitem_bars
 
 #: Decimals compared: price levels 4; sums over the whole history 2; huge readings coarser.
-DIGITS = {"HMA": 3, "ADI": 2, "OBV": 2, "VPT": 2, "ADOSC": 2, "KVO": 2, "KlingerVolumeOscillator": 2, "ForceIndex": 2, "EaseOfMovement": -6}
+DIGITS = {"HMA": 7, "ADI": 2, "OBV": 2, "VPT": 2, "ADOSC": 2, "KVO": 2, "KlingerVolumeOscillator": 2, "ForceIndex": 2, "EaseOfMovement": -5}
+#: Exact readings that end in fives lie between two roundings; an odd divisor moves them off.
+DIVISORS = {"EaseOfMovement": 3.14159}
 #: Inputs of indicators that don't read bar columns by name.
 INPUTS = {"SwingDelta": {"price": "close", "indicator": "volume"}, "Divergence": {"price": "close", "indicator": "volume"}, "SocialZScore": {"value": "volume"}, "SocialBaselineShift": {"value": "volume"}, "OnchainChange": {"value": "close"}}
 PARAMS = {"VPT": {"smoothing_factor": 5}}
@@ -28,6 +30,8 @@ def _indicator(name: str):
         head = swing_sql(f"WITH bars AS ({LINEITEM_BARS_SQL})", "bars", "close", "volume", 5, 10)
         sql = f"{head}\nSELECT symbol, ts, " + ", ".join(f"round(CAST({o} AS DOUBLE), {digits}) AS {o}" for o in INDICATORS[name].outputs) + " FROM deltas"
     sql = indicator_oracle(name, LINEITEM_BARS_SQL, INDICATORS[name].outputs, digits) or sql
+    if by := DIVISORS.get(name):
+        sql = re.sub(r"round\(CAST\((\w+) AS DOUBLE\)", rf"round(CAST(\1 AS DOUBLE) / {by}", sql)
     shown = {o: f"o_{o}" for o in INDICATORS[name].outputs}
     if name == "NVI":  # spans many orders of size: compared as its logarithm
         sql = re.sub(r"round\(CAST\((\w+) AS DOUBLE\)", r"round(ln(1 + \1)", sql)
@@ -35,7 +39,7 @@ def _indicator(name: str):
     @register(f"ind_{name.lower()}", sql)
     def query(spark, sf_dir):
         df = compute(lineitem_bars(spark, sf_dir), name, params, inputs=inputs, prefix="o_")
-        value = (lambda c: F.ln(1 + F.col(c))) if name == "NVI" else F.col
+        value = (lambda c: F.ln(1 + F.col(c))) if name == "NVI" else (lambda c: F.col(c) / by) if by else F.col
         return df.select("symbol", "ts", *[F.round(value(c), digits).alias(o) for o, c in shown.items()])
 
 
