@@ -6,6 +6,7 @@ slug or content are no chapters, and repeated rows count once.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.plans.storage import write_table
+
 MAX_CHARS = 1_000_000
 PAGE_CHARS = 12_000
 
@@ -412,6 +415,51 @@ def search(documents: DataFrame, parts: DataFrame, query: str, *, tags: list[str
     return best.select("slug", "anchor", "match_type", "score", glossary).orderBy(F.desc("is_glossary"), F.desc("score"), "slug", "anchor")
 
 
+def tags_by_slug(documents: DataFrame) -> DataFrame:
+    """``slug, tags``: the tags of each chapter, from its column and its Tags lines, each once and in order."""
+    docs = chapters(documents)
+    given = F.coalesce("tags", F.array().cast("array<string>")) if "tags" in docs.columns else F.array().cast("array<string>")
+    written = _udf(tags_of, T.ArrayType(T.StringType()))("content")
+    return docs.select("slug", F.array_sort(F.array_distinct(F.filter(F.concat(given, written), lambda t: t.isNotNull() & (F.trim(t) != "")))).alias("tags"))
+
+
+def answer(documents: DataFrame, parts: DataFrame, query: str, *, tags: list[str] | None = None, expand: bool = True, limit: int = 5, most_bytes: int = 24_000) -> dict:
+    """A bounded answer of :func:`search` for one question, checked before anything runs.
+
+    ``results`` hold slug, anchor, match_type, score, up to 16 tags (asked ones first) and a snippet
+    of at most 500 characters; they stop before the whole answer exceeds ``most_bytes`` of JSON.
+    ``total_results`` counts all hits, ``truncated`` tells whether some are missing.
+    """
+    if not isinstance(query, str) or len(query) > 1000:
+        raise ValueError("a query is text of at most 1000 characters")
+    if type(limit) is not int or not 0 <= limit <= 100:
+        raise ValueError("limit is a whole number from 0 to 100")
+    if type(expand) is not bool:
+        raise ValueError("expand is true or false")
+    if tags is not None and (not isinstance(tags, list) or len(tags) > 10 or not all(isinstance(t, str) and t.strip() and len(t) <= 100 for t in tags)):
+        raise ValueError("tags are at most 10 texts that aren't empty")
+    hits = write_table(search(documents, parts, query, tags=tags, expand=expand), "hits")
+    total = hits.count()
+    top = hits.orderBy(F.desc("is_glossary"), F.desc("score"), "slug", "anchor").limit(limit)
+    text = chapters(documents).select("slug", "title", "content")
+    section = parts.where("anchor is not null").dropDuplicates(["slug", "anchor"]).select("slug", "anchor", F.col("content").alias("own"))
+    shown = top.join(text, "slug").join(section, ["slug", "anchor"], "left").join(tags_by_slug(documents), "slug", "left")
+    rows = snippets(shown.withColumn("text", F.coalesce("own", "content", F.lit(""))), "text", query).collect()  # at most 100
+    out: dict = {"query": query, "results": [], "returned": 0, "total_results": total, "tags_matched": sorted({t for r in rows for t in r["tags"] or () if t.lower() in {x.lower() for x in tags or ()}})[:64], "truncated": True}
+    used = len(json.dumps(out))
+    for r in sorted(rows, key=lambda r: (not r["is_glossary"], -r["score"], r["slug"], r["anchor"] or "")):
+        own = sorted(r["tags"] or ())
+        own = [t for t in own if t in (tags or ())] + [t for t in own if t not in (tags or ())]
+        row = {"slug": r["slug"], "anchor": r["anchor"], "title": r["title"], "match_type": r["match_type"], "score": r["score"], "tags": own[:16], "tags_truncated": len(own) > 16, "snippet": r["snippet"][:500]}
+        used += len(json.dumps(row)) + 2
+        if used > most_bytes:
+            break
+        out["results"].append(row)
+    out["returned"] = len(out["results"])
+    out["truncated"] = out["returned"] < total
+    return out
+
+
 def snippets(rows: DataFrame, text: str, query: str, words: int = 30) -> DataFrame:
     """Adds ``snippet``: up to 30 words around the first hit, hits marked."""
     stems = {s for g in phrases([[query]]) for p in g for s in p}

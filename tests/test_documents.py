@@ -110,3 +110,24 @@ def test_semantic_documents_weigh_all_bands(spark):
     ix = r.build_semantic_index(r.weighted_documents(hay), 2)
     assert set(ix.terms) == {"name", "abbr", "detail", "reason", "other"}  # no function words
     assert {d.id for d in ix.similar("the reason", 5).collect()} == {"x", "y"}  # both lack a summary
+
+
+def test_bounded_answer(spark):
+    from barloom.operators.documents import answer, tags_by_slug, validate_request
+
+    body = "# 1. Bands\n\nTags: Trend, volatility\n\n" + "The envelope filters the trend. " * 80
+    docs = spark.createDataFrame([(f"{i}-bands", "Bands", body, [f"t{j:02d}" for j in range(20)], "clash") for i in range(6)] + [("9-other", "Other", "Nothing here.", None, "clash")], "slug string, title string, content string, tags array<string>, anchor string")
+    parts = spark.createDataFrame([], "slug string, anchor string, title string, level int, content string")
+    tags = {r.slug: r.tags for r in tags_by_slug(docs).collect()}
+    assert len(tags["0-bands"]) == 22 and "trend" in tags["0-bands"] and tags["9-other"] == []
+    got = answer(docs, parts, "envelope", tags=["trend"], limit=3)
+    assert (got["returned"], got["total_results"], got["truncated"], got["tags_matched"]) == (3, 6, True, ["trend"])
+    first = got["results"][0]
+    assert first["tags"][0] == "trend" and len(first["tags"]) == 16 and first["tags_truncated"] and len(first["snippet"]) <= 500 and "<mark>" in first["snippet"]
+    assert answer(docs, parts, "envelope", limit=5, most_bytes=1200)["returned"] < 5 and answer(docs, parts, "zzzz")["results"] == []
+    for bad in ({"query": "x" * 1001}, {"query": "x", "limit": 101}, {"query": "x", "limit": True}, {"query": "x", "expand": 1}, {"query": "x", "tags": [" "]}, {"query": "x", "tags": ["a"] * 11}):
+        with pytest.raises(ValueError):
+            answer(docs, parts, **bad)
+    for slug in ("a--b", "a-", "-a", "A"):
+        with pytest.raises(ValueError):
+            validate_request(slug, 10)
