@@ -26,30 +26,35 @@ _CLOSERS = tuple(map(ord, "\"')]}”’»」』）】〉》"))
 CLASSES = ("paragraph", "line", "sentence", "clause", "blank")
 
 
-def _behind(code: np.ndarray, marks: tuple) -> np.ndarray:
-    """Offsets behind each of the marks and the closing quotes and brackets that follow it."""
-    at = np.flatnonzero(np.isin(code, marks)) + 1
-    if not len(at):
-        return at
-    closes = np.append(np.isin(code, _CLOSERS), False)
-    open_at = np.flatnonzero(~closes)  # the first code point from each offset on that closes nothing
-    return open_at[np.searchsorted(open_at, at)]
-
-
-def boundaries(code: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], int]:
-    """Borders at which a piece may start, the offsets at which each class allows a cut, and the longest token."""
-    blank = np.isin(code, _BLANKS)
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
-    starts, ends = edge[0::2], edge[1::2]
-    if not len(starts):
-        return starts, [starts] * len(CLASSES), 0
+_STOP, _PAUSE, _WIDE_STOP, _WIDE_PAUSE, _CLOSER, _BLANK = 1, 2, 4, 8, 16, 32
+#: What each code point of the basic plane is (the others are none of these).
+_KIND = np.zeros(0x10000, np.uint8)
+for _flag, _marks in ((_STOP, _STOPS), (_PAUSE, _PAUSES), (_WIDE_STOP, _WIDE_STOPS), (_WIDE_PAUSE, _WIDE_PAUSES), (_CLOSER, _CLOSERS), (_BLANK, _BLANKS)):
+    _KIND[list(_marks)] |= _flag
+
+
+def tokens(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs without blanks."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], (kind & _BLANK) > 0, [True])).astype(np.int8)))
+    return edge[0::2], edge[1::2]
+
+
+def boundaries(code: np.ndarray, kind: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Borders at which a piece may start, and the offsets at which each class allows a cut."""
     breaks = (code == 0x0A) | ((code == 0x0D) & np.append(code[1:] != 0x0A, True))
     total = np.concatenate(([0], np.cumsum(breaks)))
     gap = np.append(total[starts[1:]], total[-1]) - total[ends]  # line ends between a token and the next
-    stops = np.union1d(np.intersect1d(_behind(code, _STOPS), ends), _behind(code, _WIDE_STOPS))
-    pauses = np.union1d(np.intersect1d(_behind(code, _PAUSES), ends), _behind(code, _WIDE_PAUSES))
-    inner = np.setdiff1d(np.union1d(_behind(code, _WIDE_STOPS), _behind(code, _WIDE_PAUSES)), ends)
-    return np.union1d(starts, inner), [ends[gap >= 2], ends[gap >= 1], stops, pauses, ends], int((ends - starts).max())
+    open_at = np.flatnonzero(np.append((kind & _CLOSER) == 0, True))
+
+    def behind(flag: int) -> np.ndarray:
+        """Offsets behind each such mark and the closing quotes and brackets that follow it."""
+        return open_at[np.searchsorted(open_at, np.flatnonzero(kind & flag) + 1)]
+
+    wide_stops, wide_pauses = behind(_WIDE_STOP), behind(_WIDE_PAUSE)
+    stops = np.union1d(np.intersect1d(behind(_STOP), ends), wide_stops)
+    pauses = np.union1d(np.intersect1d(behind(_PAUSE), ends), wide_pauses)
+    inner = np.union1d(wide_stops, wide_pauses)
+    return np.union1d(starts, np.setdiff1d(inner, ends)) if len(inner) else starts, [ends[gap >= 2], ends[gap >= 1], stops, pauses, ends]
 
 
 def split_text(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int, str]], int]:
@@ -58,11 +63,14 @@ def split_text(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int
     Outer blanks, tabs and line ends belong to no piece; an empty or blank text has no pieces.
     """
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    starts, classes, longest = boundaries(code)
+    kind_of = _KIND[np.minimum(code, 0xFFFF)]
+    starts, ends = tokens(kind_of)
     if not len(starts):
         return [], 0
-    ends = classes[-1]
+    longest = int((ends - starts).max())
     at, stop, pieces, done = int(starts[0]), int(ends[-1]), [], 0
+    if stop - at > limit:
+        starts, classes = boundaries(code, kind_of, starts, ends)
     while stop - at > limit:
         cut, kind = at + limit, "hard"
         for name, ok in zip(CLASSES, classes):
