@@ -31,6 +31,8 @@ SAMPLE_MAX = 400_000
 SAMPLE_A_CENTROID = 80
 #: Vectors of a group that a task assigns to lists at a time.
 ASSIGN_ROWS = 40_000
+#: Rows of a table of sizes (four numbers each) that are broadcast.
+BROADCAST_ROWS = 100_000
 #: Members and queries of one block of a list.
 BLOCK_ROWS = 16_384
 GRAPH_DEGREE = 24
@@ -187,6 +189,14 @@ def _matrix(raw, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim)
 
 
+def _lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join with a written table of few rows a key: broadcast up to BROADCAST_ROWS of them, spread beyond."""
+    n = right.limit(BROADCAST_ROWS + 1).count()
+    if n == 0 and how == "left":
+        return left.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name not in keys])
+    return left.join(F.broadcast(right), keys, how) if n <= BROADCAST_ROWS else spread_lookup(left, right, keys, F.col("id"), how)
+
+
 def _posted(reps: DataFrame, dim: int, probing: Probing, sample_max: int, list_size: int) -> DataFrame:
     """Rows of ``reps`` with ``lists`` (visited, nearest first) and ``posts`` (of how many of them the vector is a member)."""
     n = F.col("n")
@@ -194,7 +204,7 @@ def _posted(reps: DataFrame, dim: int, probing: Probing, sample_max: int, list_s
     wanted = F.least(F.lit(sample_max), F.greatest(lists * SAMPLE_A_CENTROID, F.lit(2_000)))
     sizes = reps.groupBy("grp").agg(F.count("*").alias("n")).select("grp", lists.cast("int").alias("n_lists"), (wanted / n * 2**31).cast("long").alias("rate"), F.ceil(n / ASSIGN_ROWS).cast("int").alias("parts"))
     sizes = write_table(sizes, "sizes")
-    known = spread_lookup(reps, sizes, ["grp"], F.col("id"))
+    known = _lookup(reps, sizes, ["grp"])
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
         graph = CentroidGraph(_matrix(pdf["unit"], dim), int(pdf["n_lists"].iloc[0]))
@@ -271,7 +281,7 @@ def _blocks(assigned: DataFrame, block_rows: int) -> DataFrame:
     grid = sizes.where((F.col("n_m") > block_rows) | (F.col("n_q") > block_rows)).select(
         "grp", "list", F.ceil(F.greatest(F.col("n_m"), F.lit(1)) / block_rows).cast("int").alias("mb"), F.ceil(F.greatest(F.col("n_q"), F.lit(1)) / block_rows).cast("int").alias("qb")
     )
-    rows = spread_lookup(assigned.select("grp", "id", "unit", "is_query", F.posexplode("lists").alias("pos", "list"), "posts"), grid, ["grp", "list"], F.col("id"), "left")
+    rows = _lookup(assigned.select("grp", "id", "unit", "is_query", F.posexplode("lists").alias("pos", "list"), "posts"), write_table(grid, "grid"), ["grp", "list"], "left")
     mb, qb = F.coalesce("mb", F.lit(1)), F.coalesce("qb", F.lit(1))
     own_m, own_q = F.pmod(F.xxhash64("id"), mb), F.pmod(F.xxhash64("id", F.lit(1)), qb)
     member = is_member
