@@ -7,6 +7,7 @@ reseed wrote carry its number in ``reseed_seq``, rows proposed at run time null.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,17 +83,29 @@ def circles(edges: DataFrame, relations: tuple[str, ...] = ACYCLIC) -> DataFrame
         before, n = n, left.count()
         if n == before:
             return left
-    return left.groupBy(F.lit(0)).applyInPandas(_peel, "relation string, src string, dst string")
+    return left.groupBy("relation").applyInPandas(_peel, "relation string, src string, dst string")
 
 
 def _peel(pdf: pd.DataFrame) -> pd.DataFrame:
-    while len(pdf):
-        starts, ends = pd.MultiIndex.from_frame(pdf[["relation", "src"]]), pd.MultiIndex.from_frame(pdf[["relation", "dst"]])
-        keep = ends.isin(starts) & starts.isin(ends)
-        if keep.all():
-            break
-        pdf = pdf[keep]
-    return pdf[["relation", "src", "dst"]]
+    """The edges of one relation that stay; each edge is taken off once, whatever the length of its chain."""
+    n = len(pdf)
+    codes, names = pd.factorize(pd.concat([pdf["src"], pdf["dst"]], ignore_index=True))
+    keep = np.ones(n, bool)
+    # what the second pass takes off leads out of nodes that nothing leads to, so the first needs no repeat
+    for near, far in ((codes[:n], codes[n:]), (codes[n:], codes[:n])):
+        on = np.bincount(near[keep], minlength=len(names))
+        order = np.argsort(far, kind="stable")
+        first = np.searchsorted(far[order], np.arange(len(names) + 1))
+        todo = np.flatnonzero(on == 0).tolist()
+        while todo:
+            v = todo.pop()
+            for i in order[first[v] : first[v + 1]]:
+                if keep[i]:
+                    keep[i] = False
+                    on[near[i]] -= 1
+                    if not on[near[i]]:
+                        todo.append(near[i])
+    return pdf.loc[keep, ["relation", "src", "dst"]]
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:

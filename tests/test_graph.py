@@ -184,3 +184,24 @@ def test_store_questions(spark):
     assert gs.resolve(named, "a") == ["a"] and gs.resolve(named, "A") == ["a"] and gs.resolve(named, "zz") == []
     with pytest.raises(ValueError):
         gs.nodes_by_primitive(n, "Thing")
+
+
+def test_circles(spark, monkeypatch):
+    """Rings, what lies between two of them and self links stay; ways in and out, other relations and mixed ones don't."""
+    schema = "src string, dst string, relation string"
+    ring = [("a", "b"), ("b", "a"), ("b", "m"), ("m", "x"), ("x", "y"), ("y", "z"), ("z", "x"), ("s", "s")]
+    off = [("in0", "in1"), ("in1", "a"), ("z", "out0"), ("out0", "out1"), ("p", "q"), ("s", None), (None, "a")]
+    rows = [(s, d, "kind-of") for s, d in ring + off] + [("a", "b", "kind-of"), ("q", "p", "part-of"), ("u", "v", "uses"), ("v", "u", "uses"), ("b", "a", "supersedes"), ("a", "b", "supersedes")]
+    e, want = spark.createDataFrame(rows, schema), sorted([("kind-of", *r) for r in ring] + [("supersedes", "a", "b"), ("supersedes", "b", "a")])
+    assert sorted(tuple(r) for r in gs.circles(e).collect()) == want
+    assert gs.circles(e.limit(0)).collect() == [] and gs.circles(e.where("relation = 'uses'")).collect() == []
+    monkeypatch.setattr(gs, "ONE_TASK", 3)  # the same in rounds of jobs
+    assert sorted(tuple(r) for r in gs.circles(e).collect()) == want
+
+
+def test_circles_at_the_end_of_a_long_chain(spark):
+    """20,000 links lead to a ring and 20,000 away from it; only the ring stays."""
+    chain = spark.range(20_000).selectExpr("concat('n', id) as src", "concat('n', id + 1) as dst", "'kind-of' as relation")
+    away = spark.range(20_000).selectExpr("concat('m', id) as src", "concat('m', id + 1) as dst", "'kind-of' as relation")
+    ring = spark.createDataFrame([("n20000", "r", "kind-of"), ("r", "n20000", "kind-of"), ("r", "m0", "kind-of")], chain.schema)
+    assert {tuple(r) for r in gs.circles(chain.union(away).union(ring)).collect()} == {("kind-of", "n20000", "r"), ("kind-of", "r", "n20000")}
