@@ -45,6 +45,14 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete a table of :func:`write_table` that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        place = jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _delete_on_exit(spark: SparkSession, path: str) -> None:
     """Intermediate tables go when the application ends; until then later readers may need them again."""
     jvm = spark.sparkContext._jvm

@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -87,6 +90,54 @@ def test_semantic_index_spans_the_same_space(spark):
     np.testing.assert_allclose(ix.components @ ix.components.T, np.eye(4), atol=1e-6)
 
 
+def latent(texts, width):
+    """Items x width by a dense SVD of the same weights, rows of unit length, and the vector of a question."""
+    counts = {i: Counter(re.findall(r"[a-z0-9]{2,}", t)) for i, t in texts}
+    terms = sorted({w for c in counts.values() for w in c})
+    tf = np.array([[counts[i][w] for w in terms] for i, _ in texts], float)
+    idf = np.log((1 + len(texts)) / (1 + (tf > 0).sum(axis=0))) + 1
+    x = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * idf
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = np.linalg.svd(x)[2][:width]
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    return unit(x @ v.T), lambda words: unit((np.isin(terms, words) * idf) @ v.T)
+
+
+@pytest.mark.parametrize("block", [32_768, 8])
+def test_semantic_index_equals_a_dense_svd(spark, monkeypatch, block):
+    monkeypatch.setattr(r, "BLOCK_TERMS", block)
+    monkeypatch.setattr(r, "SLICE_TERMS", min(block // 2, 256))
+    rng = np.random.default_rng(1)
+    topics = [[f"w{t}x{i}" for i in range(8)] for t in range(5)]
+    texts = [(f"d{i:03d}", " ".join([*rng.choice(topics[i % 5], 9), *(["own" + str(i), "mine" + str(i)] if i % 3 else []), "all"])) for i in range(150)]
+    ix = r.build_semantic_index(spark.createDataFrame(texts, "id string, text string"), 5, rounds=12)
+    items, ask = latent(texts, 5)
+    got = {x.id: np.array(x.vec) for x in ix.vectors.collect()}
+    np.testing.assert_allclose(np.stack([got[i] for i, _ in texts]) @ got["d007"], items @ items[7], atol=1e-4)
+    # common words, and words of one item only
+    for words in (["w2x1", "w2x3"], ["own4", "w1x0"]):
+        want = items @ ask(words)
+        near = ix.similar(" ".join(words), 150).collect()
+        np.testing.assert_allclose([x.score for x in near], [want[int(x.id[1:])] for x in near], atol=1e-4)
+        assert len(near) == 150 and [x.score for x in near] == sorted((x.score for x in near), reverse=True)
+    assert ix.embed("nothing") is None and len(ix.terms) == 41 + 200
+
+
+def test_semantic_index_takes_any_vocabulary(spark):
+    """More terms than a driver could hold products of: names and numbers of one item each, and a few shared words."""
+    words = "concat_ws(' ', transform(sequence(0, 49), i -> concat('t', id, 'x', i)), transform(sequence(0, 5), i -> concat('topic', id % 3, 'x', i)))"
+    ix = r.build_semantic_index(spark.range(9000).selectExpr("concat('d', id) as id", f"{words} as text"), 3, rounds=2)
+    assert ix.counts.count() == 450_018 and ix.vectors.count() == 9000
+    near = ix.similar("topic2x0 topic2x5", 3000).collect()
+    assert all(int(x.id[1:]) % 3 == 2 and x.score > 0.99 for x in near) and ix.similar("topic2x1", 3001).collect()[-1].score < 0.1
+    assert int(ix.similar("t5x7", 1).first().id[1:]) % 3 == 2  # a word of d5 only
+
+
+def test_semantic_index_without_terms(spark):
+    ix = r.build_semantic_index(spark.createDataFrame([("a", ""), ("b", None), (None, "word")], "id string, text string"))
+    assert ix.vectors.count() == 0 and ix.similar("word").count() == 0
+
+
 def test_fused_ranks_the_whole_table(spark, tmp_path):
     from barloom.queries_documents import retrieve_fused_dense
 
