@@ -109,7 +109,7 @@ def graph_all_paths(spark, sf_dir):
 @register("graph_ask")
 def graph_ask(spark, sf_dir):
     """Seeds from search, the semantic index and the vectors near a given one of the same index."""
-    g, question = graph(spark, sf_dir).materialise(), "which bullish envelope filters the momentum"
+    g, question = graph(spark, sf_dir).materialise(haystacks=True), "which bullish envelope filters the momentum"
     v = table(spark, sf_dir, "vectors")
     given = v.where("vec_id = 7 and size(vec) = 64").first()
     near = g.dense_ranking(v.where(F.col("index_name") == given["index_name"]), given["vec"])

@@ -104,6 +104,23 @@ def test_registered_ask_fuses_meaning_and_vectors(g, spark, tmp_path):
     assert got["concept:c"] >= 1 / 6 - 1e-9 and "concept:gone" not in got and got["concept:a"] >= 2 / 6 - 1e-9
 
 
+def test_ask_over_more_names_than_a_driver_holds(spark, tmp_path):
+    """420,000 numbers that stand in one node each, beside shared words."""
+    from barloom.queries_graph import graph_ask
+
+    e = "CASE WHEN id % 4 = 0 THEN 'momentum' ELSE 'other' END"
+    nodes = spark.range(6000).selectExpr("concat('concept:n', id) AS id", f"concat({e}, ' ', {e}) AS name", "'Concept' AS primitive", f"concat({e}, ' ', concat_ws(' ', transform(sequence(0, 69), i -> concat('t', id, 'x', i)))) AS summary")
+    empty = spark.createDataFrame([], NODES)
+    nodes.unionByName(empty.drop("src"), allowMissingColumns=True).write.parquet(str(tmp_path / "nodes.parquet"))
+    edges = [("concept:n1", "concept:n4", "kind-of", "said", "x"), ("concept:n1", "concept:n4", "Kind of", "a reason", "x"), ("concept:n2", "concept:gone", "uses", "lost", "x"), ("concept:gone", "concept:n4", "uses", "lost", "x")]
+    spark.createDataFrame(edges, EDGES).write.parquet(str(tmp_path / "edges.parquet"))
+    spark.createDataFrame([(7, "dense", [1.0] * 64, "concept:n1")], "vec_id long, index_name string, vec array<float>, id string").write.parquet(str(tmp_path / "vectors.parquet"))
+    got = {r.id: r for r in graph_ask(spark, str(tmp_path)).collect()}
+    assert got["concept:n1"].hops == 0 and got["concept:n4"].hops in (0, 1) and "concept:gone" not in got
+    meant = [i for i, r in got.items() if r.hops == 0 and i != "concept:n1"]
+    assert len(meant) >= 60 and all(int(i.removeprefix("concept:n")) % 4 == 0 for i in meant)
+
+
 def test_store(spark, tmp_path):
     n = lambda *rows: spark.createDataFrame(list(rows), "id string, primitive string, status string")
     e = lambda *rows: spark.createDataFrame(list(rows), "src string, dst string, relation string")
